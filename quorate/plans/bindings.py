@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorate.operators.agreement import cap_panel
+from quorate.operators.prepare import nest_documents
+
+DOCS_PER_CASE = 5
+
+# Words standing in for clinical indicators, in the languages of the documents.
+ROLE_WORDS = """\
+| Specialty | Key Indicators | Lead Potential |
+| :--- | :--- | :--- |
+| **Cardiologist** | that, was, of the, erin. | High |
+| **Neurologist** | with, este, from the, thor. | High |
+| **Nephrologist** | this, que (les), for, und. | Medium |
+| **Endocrinologist** | from, der, avec, un la. | Medium |
+| **Radiologist** | thble, para, thing, eron, dans. | Low |
+| **Pharmacist** | thea, mit, pour, erer, los. | Low |
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- panels over order lines ---------------------------------------------------
+
 def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as opinions of an order's panel."""
+    """Order lines as opinions of an order's panel, in a unique panel order."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("case_id"),
         F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("pos"),
@@ -22,5 +39,234 @@ def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, capped and numbered as a review would send them out."""
+    return cap_panel(opinions(spark, sf_dir))
+
+
 def order_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"))
+
+
+def panel_team(panel: DataFrame) -> DataFrame:
+    """The team of a panel: its members in order, the first one leading."""
+    return panel.select(
+        "case_id", "pos", F.col("specialty"),
+        F.concat(F.lit("listed at "), F.col("pos").cast("string")).alias("reason"),
+        (F.col("pos") == 0).alias("is_lead"),
+    )
+
+
+def panel_leads(panel: DataFrame) -> DataFrame:
+    return panel_team(panel).where("is_lead")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as raw answers, broken in ways chosen by the supplier key."""
+    line = table(spark, sf_dir, "lineitem")
+    confidence = F.round(F.col("l_discount") * 10, 1).cast("decimal(3,1)")
+    number = confidence.cast("string")
+    name = F.concat(F.lit("S"), F.col("l_linenumber"))
+    kind = F.col("l_suppkey") % 10
+
+    def pair(key: str, value: Column | str) -> Column:
+        return F.concat(F.lit(f'"{key}": '), F.lit(value) if isinstance(value, str) else value)
+
+    def quoted(value: Column) -> Column:
+        return F.concat(F.lit('"'), value, F.lit('"'))
+
+    specialty = F.when(kind == 7, pair("specialty", "null")).when(
+        kind != 5, pair("specialty", quoted(name)))
+    findings = pair("findings", quoted(F.concat(
+        F.lit("Item "), F.col("l_linenumber"), F.lit(" is "), "l_returnflag", F.lit(" "),
+        "l_linestatus")))
+    recommendation = pair("recommendation", quoted(
+        F.when(F.col("l_partkey") % 2 == 0,
+               F.concat(F.lit("Keep  "), "l_returnflag", "l_linestatus", F.lit(".")))
+        .otherwise(F.concat(F.lit("keep "), F.lower(F.concat("l_returnflag", "l_linestatus"))))))
+    quotes = F.when(kind == 8, pair("evidence_quotes", "[null]")).otherwise(
+        pair("evidence_quotes", F.concat(F.lit('["part '), F.col("l_partkey"), F.lit('"]'))))
+    value = (
+        F.when(kind == 1, pair("confidence", '"high"'))
+        .when(kind == 2, pair("confidence", (confidence + 1).cast("string")))
+        .when(kind == 4, pair("confidence", quoted(number)))
+        .when(kind == 8, pair("confidence", "true"))
+        .when(kind != 3, pair("confidence", number))
+    )
+    body = F.concat(
+        F.lit("{"), F.concat_ws(", ", specialty, findings, recommendation, quotes, value),
+        F.lit("}"),
+    )
+    raw = (
+        F.when(kind == 0, F.concat(F.lit("No JSON from "), name))
+        .when(kind == 6, F.concat(F.lit("["), body, F.lit("]")))
+        .otherwise(body)
+    )
+    return line.select(
+        F.col("l_orderkey").alias("case_id"),
+        F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("pos"),
+        raw.alias("raw"),
+    )
+
+
+def triage_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as raw triage answers; the customer key chooses what is wrong."""
+    order = table(spark, sf_dir, "orders")
+    kind = F.col("o_custkey") % 6
+    first = F.concat(F.lit('{"name": "'), F.col("o_orderpriority"), F.lit('", "reason": "due"}'))
+    second = F.when(kind == 2, F.lit('{"name": "Second"}')).otherwise(
+        F.lit('{"name": "Second", "reason": "more"}'))
+    lead = F.when(kind == 1, F.lit('"lead_specialist": null, ')).when(
+        kind.isin(0, 4), F.lit('"lead_specialist": "Second", ')).otherwise("")
+    body = F.concat(
+        F.lit('{"specialties": ['),
+        F.when(kind == 4, "").otherwise(F.concat(first, F.lit(", "), second)),
+        F.lit("], "), lead, F.lit('"rationale": "status '), F.col("o_orderstatus"), F.lit('"}'),
+    )
+    raw = F.when(kind == 5, F.concat(body, F.lit(" and more"))).otherwise(body)
+    return order.select(F.col("o_orderkey").alias("case_id"), raw.alias("raw"))
+
+
+def line_facts(panel_lines: DataFrame) -> DataFrame:
+    return panel_lines.select("case_id", "pos", "specialty", "attribute", "value")
+
+
+def panel_facts(spark: SparkSession, sf_dir: str, capped: bool = True) -> DataFrame:
+    """Order lines as facts: the status each line gives for its return flag."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"),
+        F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("pos"),
+        F.concat(F.lit("S"), F.col("l_linenumber")).alias("specialty"),
+        F.col("l_returnflag").alias("attribute"), F.col("l_linestatus").alias("value"),
+    )
+    return cap_panel(rows) if capped else rows
+
+
+# --- cases over documents ------------------------------------------------------
+
+def case_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every five neighbouring documents are one case."""
+    return table(spark, sf_dir, "documents").select(
+        F.floor(F.col("doc_id") / DOCS_PER_CASE).alias("case_id"),
+        (F.col("doc_id") % DOCS_PER_CASE).cast("int").alias("pos"),
+        "text",
+    )
+
+
+def questions(case_documents: DataFrame) -> DataFrame:
+    """The first line of a case's first document is its question."""
+    return case_documents.where(F.col("pos") == 0).select(
+        "case_id", F.substring_index("text", "\n", 1).alias("question")
+    )
+
+
+def document_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with their documents nested; five each, by the way ids are cut."""
+    docs = case_docs(spark, sf_dir)
+    return nest_documents(docs).join(questions(docs), "case_id").select(
+        "case_id", "question", "documents"
+    )
+
+
+def single_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a case of its own."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("case_id"), F.array("text").alias("documents")
+    )
+
+
+def first_line_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opinions quoting a first line: each case's own, and the next case's."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.substring_index("text", "\n", 1).alias("line")
+    )
+
+    def opinion(case_id: Column, pos: int, specialty: str) -> DataFrame:
+        return docs.select(
+            case_id.alias("case_id"), F.lit(pos).alias("pos"),
+            F.lit(specialty).alias("specialty"), F.array("line").alias("evidence_quotes"),
+        )
+
+    return opinion(F.col("doc_id"), 0, "Own").unionByName(
+        opinion(F.col("doc_id") - 1, 1, "Next").where(F.col("case_id") >= 0)
+    )
+
+
+def first_line_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_line_quotes(spark, sf_dir).select(
+        "case_id", F.col("pos").alias("claim_no"), F.col("specialty").alias("specialist"),
+        F.col("evidence_quotes")[0].alias("claim"),
+    )
+
+
+# --- event log -----------------------------------------------------------------
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User events as the event log of a case per user."""
+    raw = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.col("event_type")
+    names = F.array_join(F.transform(
+        F.sequence(F.lit(0), F.col("k") % 5),
+        lambda i: F.concat(F.lit('"A'), i.cast("string"), F.lit('"'))), ", ")
+    lead = F.when(F.col("k") % 4 == 0, "").otherwise(
+        F.concat(F.lit("A"), (F.col("k") % 5).cast("string")))
+    data = (
+        F.when(kind == "signup", F.concat(
+            F.lit('{"specialties": ['), names, F.lit('], "lead_specialist": "'), lead,
+            F.lit('", "count": '), (F.col("k") % 3 + 1).cast("string"), F.lit("}")))
+        .when(kind == "view", F.when(F.col("k") % 7 == 0, "{}").otherwise(
+            F.concat(F.lit('{"message": "step '), F.col("k").cast("string"), F.lit('"}'))))
+        .when(kind == "click", F.concat(
+            F.lit('{"confidence": '), (F.col("k") % 11 / 10).cast("decimal(3,1)").cast("string"),
+            F.lit("}")))
+        .when(kind == "purchase", F.concat(
+            F.lit('{"final_summary": "sum '), F.col("k").cast("string"), F.lit('"}')))
+        .when(F.col("k") % 3 == 0, "{}")
+        .otherwise(F.concat(F.lit('{"message": "failed at '), F.col("k").cast("string"),
+                            F.lit('"}')))
+    )
+    return raw.withColumn("k", k).select(
+        F.col("user_id").alias("case_id"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(kind == "signup", "specialists_spawned").when(kind == "view", "specialist_thinking")
+        .when(kind == "click", "specialist_done").when(kind == "purchase", "judge_done")
+        .when(kind == "error", "error").otherwise(kind).alias("type"),
+        F.when(kind.isin("view", "click"),
+               F.concat(F.lit("specialist_a"), (F.col("k") % 5).cast("string")))
+        .when(kind == "purchase", "judge_agent").otherwise("").alias("agent_name"),
+        data.alias("data"),
+    )
+
+
+# `seq` of the log is in microseconds; blocks of a minute spread a hot case.
+EVENT_BLOCK = 60_000_000
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as draft tokens of the speaking role."""
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("case_id"), F.col("role").alias("agent_name"),
+        F.col("turn").alias("seq"), F.col("text").alias("token"),
+    )
+
+
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error events as exceptions with a name and a message."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.col("k") % 8
+    number = F.col("k").cast("string")
+    return (
+        table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+        .withColumn("k", k)
+        .select(
+            F.when(kind == 0, "AuthenticationError").when(kind == 1, "RateLimitError")
+            .when(kind == 2, "APITimeoutError").otherwise("RuntimeError").alias("name"),
+            F.when(kind == 3, F.concat(F.lit("Missing credentials for "), number))
+            .when(kind == 4, F.concat(F.lit("Rate limit reached, connection "), number))
+            .when(kind == 5, "Connection error.")
+            .when(kind == 6, F.concat(F.lit("bad API key at connection "), number))
+            .otherwise(F.concat(F.lit("step "), number)).alias("message"),
+        )
+    )
