@@ -25,16 +25,11 @@ def number_from_text(text: Column) -> Column:
     Accepts surrounding blanks, digit-group underscores and inf/nan, and
     rejects type suffixes such as ``0.8d`` that a plain cast would take.
     """
-    bare = F.trim(F.regexp_replace(text, r"[\t\n\r\f\x0b]", " "))
-    low = F.lower(bare)
-    plain = F.when(
-        bare.rlike(NUMBER_TEXT), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double")
-    )
+    bare = F.lower(F.trim(F.regexp_replace(text, r"[\t\n\r\f\x0b]", " ")))
     return (
-        F.when(low.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf")))
-        .when(low.rlike(r"^-inf(inity)?$"), F.lit(float("-inf")))
-        .when(low.rlike(r"^[+-]?nan$"), F.lit(float("nan")))
-        .otherwise(plain)
+        F.when(bare.rlike(NUMBER_TEXT), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
+        .when(bare.rlike(r"^[+-]?inf(inity)?$"), bare.try_cast("double"))
+        .when(bare.rlike(r"^[+-]?nan$"), F.lit(float("nan")))
     )
 
 

@@ -25,6 +25,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that each is evaluated once per row.
+
+    The optimizer copies a projected expression into every later use and into
+    filters below it; it does not reach through a generator of one row.
+    """
+    row = F.struct(*[col.alias(name) for name, col in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def carry(df: DataFrame, keys: Sequence[str], seq: str, value: Column, out: str,
           block: int, forward: bool = True, inclusive: bool = True) -> DataFrame:
     """Nearest non-null ``value`` at or before each row (after it: ``forward=False``).

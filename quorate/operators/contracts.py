@@ -14,81 +14,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorate.functions.confidence import clamp, number_from_json, number_from_text
+from quorate.functions.scale import computed_once
 
 _TEXTS = ("ARRAY<STRING>", "ARRAY<VOID>")
 _YES = ("true", "t", "yes", "y", "on", "1")
 _NO = ("false", "f", "no", "n", "off", "0")
+_MARK = "end of answer"
 
 
-def _part(body: Column, name: str, as_type: str = "variant") -> Column:
-    return F.try_variant_get(body, f"$.{name}", as_type)
+def _as(value: Column, as_type: str) -> Column:
+    return F.try_variant_get(value, "$", as_type)
 
 
 def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def _fields_are_text(value: Column, *names: str) -> Column:
-    """Whether a variant is an object whose named fields are all texts."""
-    return reduce(
-        lambda a, b: a & b, [F.coalesce(_kind(_part(value, n)) == "STRING", F.lit(False))
-                             for n in names]
-    )
-
+# Each reader takes a field's variant and gives (value, holds): the best-effort
+# typed column and whether the field keeps to its declared type.
 
-# Each reader gives (value, holds): the best-effort typed column and whether the
-# field keeps to its declared type.
+def _text(field: Column) -> tuple[Column, Column]:
+    return _as(field, "string"), _kind(field) == "STRING"
 
-def _text(body: Column, name: str) -> tuple[Column, Column]:
-    return _part(body, name, "string"), _kind(_part(body, name)) == "STRING"
 
-
-def _number(body: Column, name: str) -> tuple[Column, Column]:
-    value = number_from_json(_kind(_part(body, name)), _part(body, name, "string"))
+def _number(field: Column) -> tuple[Column, Column]:
+    value = number_from_json(_kind(field), _as(field, "string"))
     return value, value.isNotNull()
 
 
-def _texts(body: Column, name: str) -> tuple[Column, Column]:
-    value = _part(body, name, "array<string>")
-    holds = _kind(_part(body, name)).isin(*_TEXTS) & F.forall(value, lambda x: x.isNotNull())
-    return value, holds
+def _texts(field: Column) -> tuple[Column, Column]:
+    value = _as(field, "array<string>")
+    return value, _kind(field).isin(*_TEXTS) & F.forall(value, lambda x: x.isNotNull())
 
 
-def _flag(body: Column, name: str) -> tuple[Column, Column]:
-    low = F.lower(F.trim(_part(body, name, "string")))
+def _flag(field: Column) -> tuple[Column, Column]:
+    low = F.lower(F.trim(_as(field, "string")))
     number = low.try_cast("double")
-    kind = _kind(_part(body, name))
     value = (
-        F.when(kind.isin("BOOLEAN", "STRING"),
+        F.when(_kind(field).isin("BOOLEAN", "STRING"),
                F.when(low.isin(*_YES), True).when(low.isin(*_NO), False))
-        .when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"),
+        .when(_kind(field).rlike("^(BIGINT|DOUBLE|DECIMAL)"),
               F.when(number == 1, True).when(number == 0, False))
     )
     return value, value.isNotNull()
 
 
-def _texts_by_name(body: Column, name: str) -> tuple[Column, Column]:
-    lists = F.map_values(_part(body, name, "map<string,variant>"))
-    value = _part(body, name, "map<string,array<string>>")
+def _texts_by_name(field: Column) -> tuple[Column, Column]:
+    lists = F.map_values(_as(field, "map<string,variant>"))
+    value = _as(field, "map<string,array<string>>")
     all_texts = F.forall(lists, lambda v: F.coalesce(_kind(v).isin(*_TEXTS), F.lit(False)))
     no_nulls = F.forall(F.flatten(F.map_values(value)), lambda x: x.isNotNull())
-    return value, _kind(_part(body, name)).startswith("OBJECT") & all_texts & no_nulls
+    return value, _kind(field).startswith("OBJECT") & all_texts & no_nulls
 
 
-def _records(*names: str) -> Callable[[Column, str], tuple[Column, Column]]:
+def _records(*names: str) -> Callable[[Column], tuple[Column, Column]]:
     shape = "array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"
 
-    def read(body: Column, name: str) -> tuple[Column, Column]:
-        items = _part(body, name, "array<variant>")
-        holds = _kind(_part(body, name)).startswith("ARRAY") & F.forall(
-            items, lambda v: _fields_are_text(v, *names)
-        )
-        return _part(body, name, shape), holds
+    def texts(item: Column) -> Column:
+        return reduce(lambda a, b: a & b, [
+            F.coalesce(_kind(F.try_variant_get(item, f"$.{n}", "variant")) == "STRING",
+                       F.lit(False))
+            for n in names
+        ])
+
+    def read(field: Column) -> tuple[Column, Column]:
+        holds = _kind(field).startswith("ARRAY") & F.forall(_as(field, "array<variant>"), texts)
+        return _as(field, shape), holds
 
     return read
 
 
-CONTRACTS: dict[str, dict[str, Callable[[Column, str], tuple[Column, Column]]]] = {
+CONTRACTS: dict[str, dict[str, Callable[[Column], tuple[Column, Column]]]] = {
     "triage": {
         "specialties": _records("name", "reason"),
         "lead_specialist": _text,
@@ -116,54 +112,54 @@ CONTRACTS: dict[str, dict[str, Callable[[Column, str], tuple[Column, Column]]]]
 }
 
 
-def with_body(responses: DataFrame) -> DataFrame:
-    """Add ``body``: the JSON value of ``raw`` as a variant, null where it is none.
+def closed_json(raw: Column) -> Column:
+    """A text's JSON value as the first item of a list that ends in a mark.
 
-    The variant parser stops after the first value, so the text is parsed
-    inside a list and inside an object: only a text that is one whole JSON
-    value survives both.
+    The variant parser stops after the first value; behind the mark it finds
+    only a text that is one whole JSON value. Null for anything else.
     """
-    in_list = F.try_parse_json(F.concat(F.lit("["), F.col("raw"), F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), F.col("raw"), F.lit("}")))
-    return (
-        responses.withColumn("_list", in_list)
-        .withColumn(
-            "body",
-            F.when(
-                (F.size(F.try_variant_get("_list", "$", "array<variant>")) == 1)
-                & in_object.isNotNull(),
-                F.try_variant_get("_list", "$[0]", "variant"),
-            ),
-        )
-        .drop("_list")
-    )
+    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{_MARK}"]')))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind a costly value so that ``use`` can name it often, evaluated once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def parse_responses(responses: DataFrame, contract: str) -> DataFrame:
     """Raw answers as typed rows with ``status`` and ``valid``; ``raw`` is kept."""
-    body = F.col("body")
-    read = {name: reader(body, name) for name, reader in CONTRACTS[contract].items()}
-    is_object = _kind(body).startswith("OBJECT")
-    holds = reduce(lambda a, b: a & b, [F.coalesce(ok, F.lit(False)) for _, ok in read.values()])
-    failed = ~is_object
-    if contract == "opinion":
-        failed = failed | (_kind(_part(body, "specialty")) != "STRING")
-    status = (
-        F.when(body.isNull(), "unparsed")
-        .when(F.coalesce(failed, F.lit(False)), "failed")
-        .when(holds, "valid")
-        .otherwise("invalid")
-    )
-    extra = {}
-    if contract == "triage":
-        extra["lead_absent"] = is_object & _part(body, "lead_specialist").isNull()
-    return with_body(responses).select(
-        *responses.columns,
-        status.alias("status"),
-        (status == "valid").alias("valid"),
-        *[F.when(is_object, value).alias(name) for name, (value, _) in read.items()],
-        *[F.coalesce(col, F.lit(False)).alias(name) for name, col in extra.items()],
-    )
+    readers = CONTRACTS[contract]
+    shape = "struct<" + ",".join(f"{name}:variant" for name in readers) + ">"
+
+    def typed(is_json: Column, fields: Column) -> Column:
+        read = {name: reader(fields[name]) for name, reader in readers.items()}
+        failed = fields.isNull()
+        if contract == "opinion":
+            failed = failed | F.coalesce(_kind(fields["specialty"]) != "STRING", F.lit(False))
+        holds = reduce(
+            lambda a, b: a & b, [F.coalesce(ok, F.lit(False)) for _, ok in read.values()]
+        )
+        status = (
+            F.when(~is_json, "unparsed").when(failed, "failed")
+            .when(holds, "valid").otherwise("invalid")
+        )
+        extra = []
+        if contract == "triage":
+            absent = fields.isNotNull() & fields["lead_specialist"].isNull()
+            extra.append(absent.alias("lead_absent"))
+        return F.struct(
+            status.alias("status"), (is_json & holds).alias("valid"),
+            *[value.alias(name) for name, (value, _) in read.items()], *extra,
+        )
+
+    def parsed(whole: Column) -> Column:
+        mark = F.try_variant_get(whole, "$[1]", "string")
+        is_json = F.coalesce(mark == _MARK, F.lit(False))
+        fields = F.when(is_json, F.try_variant_get(whole, "$[0]", shape))
+        return _let(fields, lambda f: typed(is_json, f))
+
+    once = computed_once(responses, _parsed=_let(closed_json(F.col("raw")), parsed))
+    return once.select(*responses.columns, "_parsed.*")
 
 
 def backfill_lead(triage: DataFrame) -> DataFrame:

@@ -339,7 +339,7 @@ def emit_trace(assessments: DataFrame) -> DataFrame:
     """The ordered events of finished cases, built inside each assessment row.
 
     Every assessment (a panel has at most ten opinions) explodes into its own
-    event list: no shuffle, no numbering window.
+    event list: no shuffle, no numbering window. Run it on stored assessments.
     """
     def event(kind: str, agent: Column | str, data: Column) -> Column:
         name = F.lit(agent) if isinstance(agent, str) else agent
@@ -351,20 +351,21 @@ def emit_trace(assessments: DataFrame) -> DataFrame:
     lead = F.coalesce(F.col("lead_specialist"), F.lit(""))
     opinions = F.col("specialist_opinions")
     spawned = F.to_json(F.struct(
-        F.transform(opinions, lambda o: o["specialty"]).alias("specialties"),
-        lead.alias("lead_specialist"), F.size(opinions).alias("count"),
+        F.col("asked").alias("specialties"), lead.alias("lead_specialist"),
+        F.size(opinions).alias("count"),
     ))
 
-    def thinking(o: Column) -> Column:
-        is_lead = F.coalesce(o["specialty"] == lead, F.lit(False))
-        label = F.when(is_lead, F.concat(o["specialty"], F.lit(" (Lead)"))).otherwise(
-            o["specialty"]
-        )
-        return event("specialist_thinking", agent_key(o["specialty"]), F.to_json(F.struct(
-            o["specialty"].alias("specialty"), is_lead.alias("is_lead"),
+    def thinking(asked: Column) -> Column:
+        is_lead = asked == lead
+        label = F.when(is_lead, F.concat(asked, F.lit(" (Lead)"))).otherwise(asked)
+        return event("specialist_thinking", agent_key(asked), F.to_json(F.struct(
+            asked.alias("specialty"), is_lead.alias("is_lead"),
             F.concat(F.lit("Analyzing from "), label, F.lit(" perspective...")).alias("message"),
         )))
 
+    def done(opinion: Column, i: Column) -> Column:
+        return event("specialist_done", agent_key(F.get("asked", i)), F.to_json(opinion))
+
     summary = F.to_json(F.struct(
         F.concat(F.lit("Summarizing reviews. Lead Specialist: "), lead, F.lit("."))
         .alias("message"),
@@ -380,9 +381,8 @@ def emit_trace(assessments: DataFrame) -> DataFrame:
             event("triage_done", "supervisor_agent", F.to_json("supervisor")),
             event("specialists_spawned", "orchestrator", spawned),
         ),
-        F.transform(opinions, thinking),
-        F.transform(opinions, lambda o: event(
-            "specialist_done", agent_key(o["specialty"]), F.to_json(o))),
+        F.transform(F.slice("asked", 1, F.size(opinions)), thinking),
+        F.transform(opinions, done),
         F.array(
             event("consensus_done", "orchestrator", F.to_json("consensus")),
             event("discussion_summary", "orchestrator", summary),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorate.fixed_values import UNKNOWN_SPECIALTY
 from quorate.operators.agreement import cap_panel
 from quorate.operators.prepare import nest_documents
 
@@ -33,7 +34,7 @@ def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as opinions of an order's panel, in a unique panel order."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("case_id"),
-        F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("pos"),
+        F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice").alias("pos"),
         F.concat(F.lit("S"), F.col("l_linenumber")).alias("specialty"),
         (F.col("l_discount") * 10).alias("confidence"),
     )
@@ -51,7 +52,7 @@ def order_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel_team(panel: DataFrame) -> DataFrame:
     """The team of a panel: its members in order, the first one leading."""
     return panel.select(
-        "case_id", "pos", F.col("specialty"),
+        "case_id", "pos", F.coalesce("specialty", F.lit(UNKNOWN_SPECIALTY)).alias("specialty"),
         F.concat(F.lit("listed at "), F.col("pos").cast("string")).alias("reason"),
         (F.col("pos") == 0).alias("is_lead"),
     )
@@ -104,7 +105,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return line.select(
         F.col("l_orderkey").alias("case_id"),
-        F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("pos"),
+        F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice").alias("pos"),
         raw.alias("raw"),
     )
 
@@ -127,15 +128,11 @@ def triage_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.select(F.col("o_orderkey").alias("case_id"), raw.alias("raw"))
 
 
-def line_facts(panel_lines: DataFrame) -> DataFrame:
-    return panel_lines.select("case_id", "pos", "specialty", "attribute", "value")
-
-
 def panel_facts(spark: SparkSession, sf_dir: str, capped: bool = True) -> DataFrame:
     """Order lines as facts: the status each line gives for its return flag."""
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("case_id"),
-        F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("pos"),
+        F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice").alias("pos"),
         F.concat(F.lit("S"), F.col("l_linenumber")).alias("specialty"),
         F.col("l_returnflag").alias("attribute"), F.col("l_linestatus").alias("value"),
     )
