@@ -25,6 +25,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out an input with fewer splits than cores before CPU-heavy work.
+
+    A table in one or two small files would otherwise be read, and its text cut
+    into words, by one or two tasks. Inputs with enough splits, so every large
+    table, pass through untouched and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns so that each is evaluated once per row.
 

@@ -48,6 +48,13 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(last >= 1, runs).otherwise(F.array().cast("array<string>"))
 
 
+def run_hashes(tokens: Column, n: int) -> Column:
+    """One 64-bit hash per run of ``n`` neighbouring tokens, without joining them."""
+    last = F.size(tokens) - (n - 1)
+    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(tokens, i, n)))
+    return F.when(last >= 1, runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def sentences(text: Column) -> Column:
     """Trimmed non-empty pieces between sentence ends or line breaks."""
     pieces = F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s))
@@ -55,12 +62,19 @@ def sentences(text: Column) -> Column:
 
 
 def facts(text: Column) -> Column:
-    """Attribute/number pairs stated in a text, as an array of structs."""
+    """Attribute/number pairs stated in a text, as an array of structs.
+
+    Texts without a digit skip the search; the rest is searched once, and only
+    the short matches are taken apart.
+    """
     low = F.lower(text)
-    return F.array_distinct(F.arrays_zip(
-        F.regexp_extract_all(low, F.lit(FACT), F.lit(1)).alias("attribute"),
-        F.regexp_extract_all(low, F.lit(FACT), F.lit(2)).alias("value"),
-    ))
+    found = F.when(low.rlike("[0-9]"), F.regexp_extract_all(low, F.lit(FACT), F.lit(0))).otherwise(
+        F.array().cast("array<string>")
+    )
+    return F.array_distinct(F.transform(found, lambda m: F.struct(
+        F.regexp_extract(m, FACT, 1).alias("attribute"),
+        F.regexp_extract(m, FACT, 2).alias("value"),
+    )))
 
 
 def agent_key(specialty: Column) -> Column:

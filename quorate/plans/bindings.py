@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorate.fixed_values import UNKNOWN_SPECIALTY
+from quorate.functions.scale import spread
 from quorate.operators.agreement import cap_panel
 from quorate.operators.prepare import nest_documents
 
@@ -28,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out evenly where they come in few files."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # --- panels over order lines ---------------------------------------------------
 
 def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +70,9 @@ def panel_leads(panel: DataFrame) -> DataFrame:
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as raw answers, broken in ways chosen by the supplier key."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice",
+        "l_discount", "l_returnflag", "l_linestatus"))
     confidence = F.round(F.col("l_discount") * 10, 1).cast("decimal(3,1)")
     number = confidence.cast("string")
     name = F.concat(F.lit("S"), F.col("l_linenumber"))
@@ -143,7 +151,7 @@ def panel_facts(spark: SparkSession, sf_dir: str, capped: bool = True) -> DataFr
 
 def case_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every five neighbouring documents are one case."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.floor(F.col("doc_id") / DOCS_PER_CASE).alias("case_id"),
         (F.col("doc_id") % DOCS_PER_CASE).cast("int").alias("pos"),
         "text",
@@ -167,7 +175,7 @@ def document_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def single_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a case of its own."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.col("doc_id").alias("case_id"), F.array("text").alias("documents")
     )
 

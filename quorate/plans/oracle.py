@@ -580,7 +580,7 @@ p AS (
          len(a.l) + len(b.l) - len(list_intersect(a.l, b.l)) AS together
   FROM w a JOIN w b ON a.case_id = b.case_id AND a.pos < b.pos
   WHERE len(a.l) > 0 AND len(b.l) > 0)
-SELECT *, shared::DOUBLE / together AS jaccard FROM p WHERE shared::DOUBLE / together >= 0.2""",
+SELECT *, shared::DOUBLE / together AS jaccard FROM p WHERE shared::DOUBLE / together >= 0.05""",
 
     "f4_conflicts": _FACT_PANELS + _CONTESTED.format(facts="panels") + """
 SELECT a.case_id, a.attribute, a.pos AS pos_a, b.pos AS pos_b,

@@ -140,7 +140,7 @@ def b1_validate_lax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = b.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = b.texts(spark, sf_dir)
     return pr.split_documents(docs, r"\n+")
 
 
@@ -180,7 +180,7 @@ def c4_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c5_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = b.table(spark, sf_dir, "documents").select(
+    docs = b.texts(spark, sf_dir).select(
         F.col("doc_id").alias("case_id"), F.lit(0).alias("pos"), "text")
     roles = role_map(spark)
     team = tr.designate_lead(tr.select_team(tr.match_indicators(docs, roles)), roles)
@@ -301,7 +301,7 @@ def f3_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = b.case_docs(spark, sf_dir).select(
         "case_id", "pos", F.concat(F.lit("D"), "pos").alias("specialty"),
         F.col("text").alias("findings"))
-    return co.find_overlaps(panel, 0.2)
+    return co.find_overlaps(panel, 0.05)
 
 
 def f4_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,7 +329,7 @@ def g1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g2_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = b.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
-    docs = b.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = b.texts(spark, sf_dir)
     return gr.ground_claims_corpus(claims, docs)
 
 
