@@ -456,6 +456,8 @@ SELECT case_id, pos, specialty, reason, score, hits FROM ranked WHERE pos < 5"""
 
     "c3_support": "WITH " + _SUPPORTED + " SELECT * FROM supported",
 
+    "c3_support_one_pass": "WITH " + _SUPPORTED + " SELECT * FROM supported",
+
     "c4_lead": "WITH " + _SUPPORTED + " SELECT case_id, pos, specialty, is_lead FROM led",
 
     "c5_fallback": "WITH " + _HITS.format(case="doc_id") + """,

@@ -47,8 +47,7 @@ def _line_pos(df: DataFrame) -> DataFrame:
 
 
 def role_map(spark: SparkSession) -> DataFrame:
-    lines = [(line,) for line in b.ROLE_WORDS.splitlines()]
-    return src.parse_indicator_map(spark.createDataFrame(lines, "value STRING"))
+    return src.indicator_map_from_text(spark, b.ROLE_WORDS)
 
 
 # --- A: sources and sinks ------------------------------------------------------
@@ -162,12 +161,16 @@ def c2_team(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.select_team(_hits(spark, sf_dir))
 
 
-def _supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+def c3_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _hits(spark, sf_dir)
     return tr.require_support_roles(tr.select_team(hits, 2), hits)
 
 
-def c3_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.choose_team(_hits(spark, sf_dir), 2)
+
+
+def c3_support_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _supported(spark, sf_dir)
 
 
@@ -525,7 +528,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         a1_read_cases, a3_read_responses, a4_stream_events, a5_write_assessments,
         b1_validate, b1_validate_lax, b2_split, b3_combine,
-        c1_hits, c2_team, c3_support, c4_lead, c5_fallback, c6_cap, c7_worklist,
+        c1_hits, c2_team, c3_support, c3_support_one_pass, c4_lead, c5_fallback, c6_cap, c7_worklist,
         d1_review, d2_extractive, d3_opinions, d4_backfill, d5_clean,
         e1_agreement, e1_agreement_of_answers, e2_levels, e2_level_counts,
         e3_by_specialty, e4_outliers, e5_breakdown,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameReader
 from pyspark.sql.streaming.readwriter import DataStreamReader
@@ -47,25 +47,26 @@ def parse_indicator_map(lines: DataFrame) -> DataFrame:
     if heading is None:
         raise ValueError("no heading line with a Specialty column")
     names = list(heading["c"])
-    at = {
-        "specialty": names.index("Specialty"),
-        "indicators": next(i for i, n in enumerate(names) if n.startswith("Key Indicators")),
-        "lead": names.index("Lead Potential"),
-    }
-    bare = F.regexp_replace(F.col("c")[at["indicators"]], r"\.$", "")
-    with_synonym = r"^(.*?)\s*\((.*)\)$"
+    indicators = next(n for n in names if n.startswith("Key Indicators"))
+
+    def cell(name: str) -> Column:
+        return F.get("c", F.lit(names.index(name)))
+
+    specialty = cell("Specialty")
     item = F.trim(F.col("item"))
+    with_synonym = r"^(.*?)\s*\((.*)\)$"
     both = F.when(
         item.rlike(with_synonym),
         F.array(F.regexp_extract(item, with_synonym, 1), F.regexp_extract(item, with_synonym, 2)),
     ).otherwise(F.array(item))
     return (
-        rows.where((F.size("c") == len(names)) & ~F.array_contains("c", "Specialty"))
-        .where(~F.col("c")[at["specialty"]].rlike(r"^[:\- ]*$"))
+        rows.where((F.size("c") == len(names)) & (specialty != "Specialty"))
+        .where(~specialty.rlike(r"^[:\- ]*$"))
         .select(
-            F.regexp_replace(F.col("c")[at["specialty"]], r"\*\*", "").alias("specialty"),
-            F.explode(F.split(bare, ",")).alias("item"),
-            F.col("c")[at["lead"]].alias("lead_potential"),
+            F.replace(specialty, F.lit("**"), F.lit("")).alias("specialty"),
+            F.explode(F.split(F.regexp_replace(cell(indicators), r"\.$", ""), ","))
+            .alias("item"),
+            cell("Lead Potential").alias("lead_potential"),
         )
         .select("specialty", F.explode(both).alias("indicator"), "lead_potential")
         .where(F.col("indicator") != "")
@@ -77,9 +78,14 @@ def read_indicator_map(spark: SparkSession, path: str) -> DataFrame:
     return parse_indicator_map(spark.read.text(path))
 
 
+def indicator_map_from_text(spark: SparkSession, text: str) -> DataFrame:
+    """The specialist map from a table held in memory."""
+    lines = F.explode(F.split(F.lit(text), "\n")).alias("value")
+    return parse_indicator_map(spark.range(1).select(lines))
+
+
 def default_indicator_map(spark: SparkSession) -> DataFrame:
-    lines = [(line,) for line in fixed.INDICATOR_MAP.splitlines()]
-    return parse_indicator_map(spark.createDataFrame(lines, "value STRING"))
+    return indicator_map_from_text(spark, fixed.INDICATOR_MAP)
 
 
 def write_assessments(assessments: DataFrame, path: str, fmt: str = "parquet",
