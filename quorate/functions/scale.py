@@ -7,22 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows up to which a narrow side is broadcast (a few MB of short strings or numbers).
-BROADCAST_ROWS = 200_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a narrow table has at most ``max_rows`` rows (reads no further)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+# A side is broadcast only below both bounds.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row's values take."""
+    size = F.lit(0)
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind == "string":
+            taken = F.octet_length(field.name)
+        elif kind in ("array", "map", "struct"):
+            taken = F.octet_length(F.to_json(F.struct(field.name)))
+        else:
+            taken = F.lit(8)
+        size = size + F.coalesce(taken, F.lit(0))
+    return size.cast("bigint")
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS,
+                   max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is small enough to broadcast (reads ``max_rows`` rows at most)."""
+    rows, size = (
+        df.select(row_bytes(df).alias("b")).limit(max_rows + 1)
+        .agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    )
+    return rows <= max_rows and size <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
+                       max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only for a table of checked size.
 
-    Beyond the bound the frame is returned without hint, and Spark joins by
+    Beyond the bounds the frame is returned without hint, and Spark joins by
     shuffle with its skew handling.
     """
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,0 +1,130 @@
+from __future__ import annotations
+
+import json
+
+import pytest
+
+from quorate.operators import contracts as ct
+
+GOOD = {"specialty": "A", "findings": "f", "recommendation": "r", "evidence_quotes": ["q"],
+        "confidence": 0.5}
+
+
+def parse(spark, texts, contract="opinion"):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "case_id BIGINT, raw STRING")
+    return ct.parse_responses(df, contract).orderBy("case_id").collect()
+
+
+def changed(**fields):
+    body = {**GOOD, **fields}
+    return json.dumps({k: v for k, v in body.items() if v is not ...})
+
+
+OPINIONS = [
+    (json.dumps(GOOD), "valid"),
+    ("  " + json.dumps(GOOD) + "\n", "valid"),
+    (changed(extra=1), "valid"),
+    (changed(confidence="0.5"), "valid"),
+    (changed(confidence=True), "valid"),
+    (changed(evidence_quotes=[]), "valid"),
+    (changed(confidence="high"), "invalid"),
+    (changed(confidence=None), "invalid"),
+    (changed(confidence=...), "invalid"),
+    (changed(specialty=...), "invalid"),
+    (changed(findings=5), "invalid"),
+    (changed(evidence_quotes=["a", None]), "invalid"),
+    (changed(evidence_quotes=["a", 1]), "invalid"),
+    (changed(evidence_quotes="a"), "invalid"),
+    ("{}", "invalid"),
+    (changed(specialty=None), "failed"),
+    (changed(specialty=3), "failed"),
+    ("[" + json.dumps(GOOD) + "]", "failed"),
+    ("[]", "failed"), ("5", "failed"), ('"text"', "failed"), ("null", "failed"),
+    ("", "unparsed"), ("   ", "unparsed"), ("no json", "unparsed"), (None, "unparsed"),
+    (json.dumps(GOOD) + " and more", "unparsed"),
+    (json.dumps(GOOD) + "] [", "unparsed"),
+    (json.dumps(GOOD) + "," + json.dumps(GOOD), "unparsed"),
+    (json.dumps(GOOD)[:-1], "unparsed"),
+]
+
+
+def test_no_row_is_lost_and_each_says_how_it_parsed(spark):
+    rows = parse(spark, [t for t, _ in OPINIONS])
+    assert [(r.raw, r.status) for r in rows] == OPINIONS
+    assert all(r.valid == (r.status == "valid") for r in rows)
+
+
+def test_best_effort_fields(spark):
+    word, number = parse(spark, [changed(confidence="high"), changed(findings=5)])
+    assert (word.specialty, word.findings, word.confidence) == ("A", "f", None)
+    assert number.findings == "5"
+
+
+def test_last_of_repeated_keys_counts(spark):
+    (r,) = parse(spark, [json.dumps(GOOD)[:-1] + ', "findings": "second"}'])
+    assert (r.status, r.findings) == ("valid", "second")
+
+
+@pytest.mark.parametrize("text, value", [
+    ("0.8", 0.8), (" 0.8 ", 0.8), ("1_0", 1.0), ("1e-1", 0.1), (".5", 0.5), ("5.", 1.0),
+    ("-3", 0.0), ("inf", 1.0), ("-Infinity", 0.0), ("nan", 1.0), ("0.8d", 0.0), ("0.8f", 0.0),
+    ("true", 0.0), ("", 0.0), ("1__0", 0.0), (None, 0.0), ("0x1", 0.0),
+])
+def test_numbers_in_text(spark, text, value):
+    df = spark.createDataFrame([(text,)], "confidence STRING")
+    assert ct.clean_confidence(df).first().confidence == value
+
+
+def test_json_booleans_are_numbers_but_their_words_are_not(spark):
+    rows = spark.createDataFrame(
+        [(0, changed(confidence=True)), (1, changed(confidence=False)),
+         (2, changed(confidence="true")), (3, changed(confidence=[0.5])),
+         (4, changed(confidence=1.5))], "case_id BIGINT, raw STRING")
+    got = [r.confidence for r in ct.answered_opinions(rows).orderBy("case_id").collect()]
+    assert got == [1.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def triage(spark, *bodies):
+    rows = [(i, b if isinstance(b, str) else json.dumps(b)) for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "case_id BIGINT, raw STRING")
+    parsed = ct.backfill_lead(ct.parse_responses(df, "triage"))
+    return [(r.status, r.lead_specialist) for r in parsed.orderBy("case_id").collect()]
+
+
+def test_lead_is_backfilled_only_where_absent(spark):
+    two = [{"name": "Endocrinology", "reason": "a"}, {"name": "Nephrology", "reason": "b"}]
+    assert triage(
+        spark,
+        {"specialties": two, "lead_specialist": "Nephrology", "rationale": "r"},
+        {"specialties": two, "rationale": "r"},
+        {"specialties": two, "lead_specialist": None, "rationale": "r"},
+        {"specialties": [], "rationale": "r"},
+        {"specialties": [{"reason": "a"}], "rationale": "r"},
+        "nothing",
+    ) == [("valid", "Nephrology"), ("invalid", "Endocrinology"), ("invalid", None),
+          ("invalid", None), ("failed", None), ("unparsed", None)]
+
+
+def test_judge_contract(spark):
+    good = {"final_summary": "s", "key_findings_by_specialty": {"A": ["x", "y"]},
+            "consolidated_recommendations": ["r"]}
+    without = {k: v for k, v in good.items() if k != "key_findings_by_specialty"}
+    bad = {**good, "key_findings_by_specialty": {"A": ["x", 1]}}
+    rows = parse(spark, [json.dumps(b) for b in (good, without, bad)], "judge")
+    assert [r.status for r in rows] == ["valid", "invalid", "invalid"]
+    assert rows[0].key_findings_by_specialty == {"A": ["x", "y"]}
+    assert rows[1].consolidated_recommendations == ["r"]
+
+
+def test_safety_contract(spark):
+    issue = {"specialist": "Endocrinology", "claim": "Patient has diabetic retinopathy",
+             "issue": "Not mentioned in provided documents"}
+    good = {"verified_findings": ["a", "b"], "flagged_issues": [issue], "final_summary": "s",
+            "overall_confidence": 0.9, "is_safe": False}
+    short = {**good, "flagged_issues": [{"claim": "c"}]}
+    worded = {**good, "is_safe": "yes", "flagged_issues": []}
+    rows = parse(spark, [json.dumps(b) for b in (good, short, worded)], "safety")
+    assert [r.status for r in rows] == ["valid", "invalid", "valid"]
+    assert rows[0].is_safe is False and rows[2].is_safe is True
+    assert rows[0].flagged_issues[0].specialist == "Endocrinology"
