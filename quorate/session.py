@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import quorate
+
 # Runtime SQL settings the operators rely on; all may be set on a live session.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,7 +27,12 @@ RUNTIME_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else built."""
+    """Apply the runtime settings to a session somebody else built.
+
+    Functions of this package travel to Python workers by value, so executors
+    need no copy of it.
+    """
+    cloudpickle.register_pickle_by_value(quorate)
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
