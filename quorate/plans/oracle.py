@@ -157,6 +157,31 @@ work AS (
            || '## Patient Documents' || chr(10) || combined AS input
   FROM cases JOIN led USING (case_id))"""
 
+_EVIDENCE = """
+pieces AS (
+  SELECT CAST(floor(doc_id / 5) AS BIGINT) AS case_id, doc_id,
+         list_filter(list_transform(regexp_split_to_array(text, '[.!?][ \\t\\n\\r\\f]|\\n'),
+                     lambda x: trim(x)), lambda x: x <> '') AS l
+  FROM documents),
+sentences AS (
+  SELECT case_id, doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS s FROM pieces),
+lined AS (
+  SELECT *, ' ' || array_to_string(regexp_extract_all(lower(s), '[\\p{L}\\p{N}]+'), ' ') || ' '
+    AS line FROM sentences),
+named AS (
+  SELECT case_id, doc_id, i, s, specialty, indicator
+  FROM lined JOIN roles ON contains(line, ' ' || term || ' ')),
+quoted AS (
+  SELECT case_id, specialty, s, min((doc_id, i)) AS place FROM named GROUP BY ALL),
+evidence AS (
+  SELECT case_id, specialty, count(*) AS quotes, string_agg(s, ' ' ORDER BY place) AS findings,
+         string_agg(s, '|' ORDER BY place) AS joined
+  FROM quoted GROUP BY ALL),
+matched AS (
+  SELECT case_id, specialty, count(DISTINCT indicator) AS k,
+         string_agg(DISTINCT indicator, ', ' ORDER BY indicator) AS shown
+  FROM named GROUP BY ALL)"""
+
 _FOLD = "trim(regexp_replace(lower({0}), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 _FACTS = (
@@ -485,30 +510,7 @@ SELECT case_id, pos, agent_name,
   CASE WHEN specialty = 'Pharmacist' THEN 'ValueError: no reviewer for Pharmacist' END AS error
 FROM work""",
 
-    "d2_extractive": "WITH " + _SUPPORTED + """,
-pieces AS (
-  SELECT CAST(floor(doc_id / 5) AS BIGINT) AS case_id, doc_id,
-         list_filter(list_transform(regexp_split_to_array(text, '[.!?][ \\t\\n\\r\\f]|\\n'),
-                     lambda x: trim(x)), lambda x: x <> '') AS l
-  FROM documents),
-sentences AS (
-  SELECT case_id, doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS s FROM pieces),
-lined AS (
-  SELECT *, ' ' || array_to_string(regexp_extract_all(lower(s), '[\\p{L}\\p{N}]+'), ' ') || ' '
-    AS line FROM sentences),
-named AS (
-  SELECT case_id, doc_id, i, s, specialty, indicator
-  FROM lined JOIN roles ON contains(line, ' ' || term || ' ')),
-quoted AS (
-  SELECT case_id, specialty, s, min((doc_id, i)) AS place FROM named GROUP BY ALL),
-evidence AS (
-  SELECT case_id, specialty, count(*) AS quotes, string_agg(s, ' ' ORDER BY place) AS findings,
-         string_agg(s, '|' ORDER BY place) AS joined
-  FROM quoted GROUP BY ALL),
-matched AS (
-  SELECT case_id, specialty, count(DISTINCT indicator) AS k,
-         string_agg(DISTINCT indicator, ', ' ORDER BY indicator) AS shown
-  FROM named GROUP BY ALL)
+    "d2_extractive": "WITH " + _SUPPORTED + "," + _EVIDENCE + """
 SELECT case_id, pos, specialty,
   md5(coalesce(findings, 'No relevant information found')) AS findings_md5,
   coalesce('Follow up on ' || shown, '') AS recommendation,
@@ -724,6 +726,29 @@ LEFT JOIN notes ON notes.case_id = o_orderkey
 LEFT JOIN listed ON listed.case_id = o_orderkey
 LEFT JOIN safety ON safety.case_id = o_orderkey""",
 
+    "i1_assess_documents": "WITH " + _SUPPORTED.replace("pos < 2", "pos < 5") + ","
+    + _EVIDENCE + "," + _CASES + "," + _SIZES + """,
+valid AS (SELECT case_id FROM sizes WHERE """ + _PROBLEMS + """ = ''),
+swarm AS (
+  SELECT case_id, pos, specialty, is_lead FROM led JOIN valid USING (case_id)
+  UNION ALL
+  SELECT case_id, 0, 'Internal Medicine', true FROM valid
+  WHERE case_id NOT IN (SELECT case_id FROM led)),
+voiced AS (
+  SELECT case_id, pos, specialty, is_lead, coalesce(quotes, 0) AS quotes,
+         least(1.0::DOUBLE, coalesce(k, 0)::DOUBLE / 4) AS c
+  FROM swarm LEFT JOIN evidence USING (case_id, specialty)
+  LEFT JOIN matched USING (case_id, specialty)),""" + _moments("voiced") + """,
+per_case AS (
+  SELECT case_id, max(CASE WHEN is_lead THEN specialty END) AS lead_specialist,
+         count(*) AS panel, sum(quotes) FILTER (c > 0) AS verified
+  FROM voiced GROUP BY case_id)
+SELECT case_id, lead_specialist, panel, round_even(score, 3) AS agreement_score, level,
+  CAST(verified AS BIGINT) AS verified,
+  CASE WHEN verified IS NOT NULL THEN CAST(0 AS BIGINT) END AS flagged,
+  CASE WHEN verified IS NOT NULL THEN true END AS is_safe
+FROM per_case JOIN agreed USING (case_id)""",
+
     "i2_callback": "WITH " + _EVENTS + " SELECT type, CAST(count(*) AS BIGINT) AS n FROM ev "
     "GROUP BY type",
 
