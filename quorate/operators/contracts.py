@@ -115,10 +115,13 @@ CONTRACTS: dict[str, dict[str, Callable[[Column], tuple[Column, Column]]]] = {
 def closed_json(raw: Column) -> Column:
     """A text's JSON value as the first item of a list that ends in a mark.
 
-    The variant parser stops after the first value; behind the mark it finds
-    only a text that is one whole JSON value. Null for anything else.
+    The variant parser stops after the first value; it comes to the mark only
+    in a text that is one whole JSON value. Null for anything else. Prose is
+    told by its first letter, which saves a parser exception per row.
     """
-    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{_MARK}"]')))
+    may_be_json = raw.rlike(r'^[ \t\n\r]*[\[{"0-9tfn-]')
+    closed = F.concat(F.lit("["), raw, F.lit(f',"{_MARK}"]'))
+    return F.when(may_be_json, F.try_parse_json(closed))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -308,8 +308,8 @@ def f3_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f4_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = b.panel_facts(spark, sf_dir)
-    return co.find_conflicts(facts, b.panel_leads(b.panels(spark, sf_dir)))
+    facts = stored(b.panel_facts(spark, sf_dir), "facts")
+    return co.find_conflicts(facts, b.panel_leads(facts))
 
 
 def f4_conflicting_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -500,7 +500,9 @@ def i1_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def i1_assess_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain from documents to assessments."""
-    rows = assess(b.document_cases(spark, sf_dir), role_map(spark)).assessments
+    docs = b.case_docs(spark, sf_dir)
+    cases = pr.nest_accepted(b.questions(docs), docs)
+    rows = assess(cases, role_map(spark)).assessments
     return rows.select(
         "case_id", "lead_specialist", F.size("specialist_opinions").alias("panel"),
         "consensus.agreement_score", "consensus.level",

@@ -60,6 +60,14 @@ def test_long_form_gives_the_same_problems(spark):
         pr.case_problems(cases).select(*pick).collect())
 
 
+def test_oversized_cases_are_turned_away_before_nesting(spark):
+    questions = spark.createDataFrame([(1, "why"), (2, "why")], "case_id BIGINT, question STRING")
+    docs = spark.createDataFrame([(1, 1, "b"), (1, 0, "a")] + [(2, i, "x") for i in range(11)],
+                                 "case_id BIGINT, pos INT, text STRING")
+    rows = pr.nest_accepted(questions, docs).collect()
+    assert [(r.case_id, r.documents) for r in rows] == [(1, ["a", "b"])]
+
+
 def test_split_documents(spark):
     text = "\n\n one \nstill one\n\n\n two\t\n\n \n\nthree"
     rows = pr.split_documents(spark.createDataFrame([(7, text)], "id INT, text STRING"))
