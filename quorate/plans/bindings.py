@@ -138,7 +138,7 @@ def triage_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel_facts(spark: SparkSession, sf_dir: str, capped: bool = True) -> DataFrame:
     """Order lines as facts: the status each line gives for its return flag."""
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = spread(table(spark, sf_dir, "lineitem")).select(
         F.col("l_orderkey").alias("case_id"),
         F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice").alias("pos"),
         F.concat(F.lit("S"), F.col("l_linenumber")).alias("specialty"),

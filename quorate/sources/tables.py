@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameReader
@@ -34,19 +36,19 @@ def read_events(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return _load(spark.read, path, fmt, schemas.EVENTS)
 
 
-def parse_indicator_map(lines: DataFrame) -> DataFrame:
+def _cells(line: Column) -> Column:
+    return F.transform(F.split(F.trim(line), r"\|"), lambda c: F.trim(c))
+
+
+def parse_indicator_map(lines: DataFrame, names: Sequence[str]) -> DataFrame:
     """A piped text table as rows ``specialty, indicator, lead_potential``.
 
-    Reads the columns by their heading. Heading and rule lines are dropped,
-    bold marks and the final full stop stripped, cells cut at commas;
+    ``names`` are the cells of its heading line. Heading and rule lines are
+    dropped, bold marks and the final full stop stripped, cells cut at commas;
     ``X (Y)`` among the indicators gives both X and Y.
     """
-    cells = F.transform(F.split(F.trim("value"), r"\|"), lambda c: F.trim(c))
-    rows = lines.where(F.trim("value").startswith("|")).select(cells.alias("c"))
-    heading = rows.where(F.array_contains("c", "Specialty")).first()
-    if heading is None:
-        raise ValueError("no heading line with a Specialty column")
-    names = list(heading["c"])
+    names = list(names)
+    rows = lines.where(F.trim("value").startswith("|")).select(_cells(F.col("value")).alias("c"))
     indicators = next(n for n in names if n.startswith("Key Indicators"))
 
     def cell(name: str) -> Column:
@@ -74,14 +76,22 @@ def parse_indicator_map(lines: DataFrame) -> DataFrame:
 
 
 def read_indicator_map(spark: SparkSession, path: str) -> DataFrame:
-    """The specialist map from a text file (a small, driver-sized table)."""
-    return parse_indicator_map(spark.read.text(path))
+    """The specialist map from a text file; its heading line names the columns."""
+    lines = spark.read.text(path)
+    heading = (
+        lines.select(_cells(F.col("value")).alias("c"))
+        .where(F.array_contains("c", "Specialty")).first()
+    )
+    if heading is None:
+        raise ValueError("no heading line with a Specialty column")
+    return parse_indicator_map(lines, heading["c"])
 
 
 def indicator_map_from_text(spark: SparkSession, text: str) -> DataFrame:
-    """The specialist map from a table held in memory."""
+    """The specialist map from a table held in memory, heading first."""
+    heading = [cell.strip() for cell in text.split("\n", 1)[0].split("|")]
     lines = F.explode(F.split(F.lit(text), "\n")).alias("value")
-    return parse_indicator_map(spark.range(1).select(lines))
+    return parse_indicator_map(spark.range(1).select(lines), heading)
 
 
 def default_indicator_map(spark: SparkSession) -> DataFrame:
