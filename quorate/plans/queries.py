@@ -501,7 +501,7 @@ def i1_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 def i1_assess_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain from documents to assessments."""
     docs = b.case_docs(spark, sf_dir)
-    cases = pr.nest_accepted(b.questions(docs), docs)
+    cases = stored(pr.nest_accepted(b.questions(docs), docs), "cases")
     rows = assess(cases, role_map(spark)).assessments
     return rows.select(
         "case_id", "lead_specialist", F.size("specialist_opinions").alias("panel"),

@@ -98,6 +98,19 @@ def default_indicator_map(spark: SparkSession) -> DataFrame:
     return indicator_map_from_text(spark, fixed.INDICATOR_MAP)
 
 
+def write_bucketed(cases: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Keep a case table bucketed by case, and return it.
+
+    Joins with teams and claims then leave the texts where they are: only the
+    small side is shuffled to the buckets.
+    """
+    writer = cases.write.bucketBy(buckets, "case_id").sortBy("case_id").format("parquet")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return cases.sparkSession.table(table)
+
+
 def write_assessments(assessments: DataFrame, path: str, fmt: str = "parquet",
                       partition_by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
     """Assessments as nested rows, or as one JSON text per case (``json_text``)."""

@@ -83,6 +83,28 @@ def test_json_text_sink(spark, tmp_path):
     assert (row.case_id, row.part, json.loads(row.assessment)) == (1, "x", {"score": 0.5})
 
 
+def test_bucketed_cases_are_not_shuffled(spark, tmp_path):
+    import re
+    import uuid
+
+    from quorate.operators.grounding import classify_verdicts
+    name = f"cases_{uuid.uuid4().hex}"
+    bucketed = src.write_bucketed(cases(spark), name, 4, str(tmp_path / "cases"))
+    claims = spark.range(50).select(
+        (F.col("id") % 3 + 1).alias("case_id"), F.col("id").alias("claim_no"),
+        F.lit("S").alias("specialist"), F.lit("weather").alias("claim"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        verdicts = classify_verdicts(claims, bucketed)
+        plan = verdicts._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall("Exchange hashpartitioning", plan)) == 1
+        assert verdicts.where("verdict = 'SAFE'").count() == 17
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_readers_use_declared_schemas(spark, tmp_path):
     path = str(tmp_path / "in")
     cases(spark).write.json(path)
