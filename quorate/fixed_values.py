@@ -26,6 +26,23 @@ DEFAULT_MESSAGES = {
     "error": "The pipeline stopped unexpectedly.",
 }
 
+# Names and messages of the event log; {} is filled in.
+AGENT_NAMES = {
+    "triage": "supervisor_agent",
+    "panel": "orchestrator",
+    "judge": "judge_agent",
+    "safety": "safety_agent",
+}
+SPECIALIST_PREFIX = "specialist_"
+LEAD_SUFFIX = " (Lead)"
+TRACE_MESSAGES = {
+    "triage": "Supervisor analyzing clinical focus and determining specialist team...",
+    "specialist": "Analyzing from {} perspective...",
+    "discussion": "Summarizing reviews. Lead Specialist: {}.",
+    "judge": "Medical Judge synthesizing reviews and resolving conflicts...",
+    "safety": "Final safety agent verifying Judge's report against documents...",
+}
+
 # Agreement scoring.
 LARGEST_SPREAD = 0.5
 SMALLEST_OUTLIER_GAP = 0.15

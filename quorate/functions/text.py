@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quorate.fixed_values import SPECIALIST_PREFIX
+
 WORD = r"[\p{L}\p{N}]+"
 BLANKS = r"[ \t\n\r\f]+"
 SENTENCE_END = r"[.!?][ \t\n\r\f]|\n"
@@ -79,11 +81,11 @@ def facts(text: Column) -> Column:
 
 def agent_key(specialty: Column) -> Column:
     """The agent name of a specialty on the sending side (spaces only)."""
-    return F.concat(F.lit("specialist_"), F.replace(F.lower(specialty), F.lit(" "), F.lit("_")))
+    return F.concat(F.lit(SPECIALIST_PREFIX), F.replace(F.lower(specialty), F.lit(" "), F.lit("_")))
 
 
 def card_key(specialty: Column) -> Column:
     """The key the receiving side gives a specialty (every blank replaced)."""
     return F.concat(
-        F.lit("specialist_"), F.regexp_replace(F.lower(specialty), f"[{_JS_BLANK}]", "_")
+        F.lit(SPECIALIST_PREFIX), F.regexp_replace(F.lower(specialty), f"[{_JS_BLANK}]", "_")
     )

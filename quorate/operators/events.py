@@ -345,9 +345,12 @@ def emit_trace(assessments: DataFrame) -> DataFrame:
         name = F.lit(agent) if isinstance(agent, str) else agent
         return F.struct(F.lit(kind).alias("type"), name.alias("agent_name"), data.alias("data"))
 
-    def says(text: str) -> Column:
-        return F.to_json(F.struct(F.lit(text).alias("message")))
+    def message(stage: str, filled: Column | None = None) -> Column:
+        before, _, after = fixed.TRACE_MESSAGES[stage].partition("{}")
+        text = F.lit(before) if filled is None else F.concat(F.lit(before), filled, F.lit(after))
+        return text.alias("message")
 
+    agent = fixed.AGENT_NAMES
     lead = F.coalesce(F.col("lead_specialist"), F.lit(""))
     opinions = F.col("specialist_opinions")
     spawned = F.to_json(F.struct(
@@ -357,41 +360,33 @@ def emit_trace(assessments: DataFrame) -> DataFrame:
 
     def thinking(asked: Column) -> Column:
         is_lead = asked == lead
-        label = F.when(is_lead, F.concat(asked, F.lit(" (Lead)"))).otherwise(asked)
+        label = F.when(is_lead, F.concat(asked, F.lit(fixed.LEAD_SUFFIX))).otherwise(asked)
         return event("specialist_thinking", agent_key(asked), F.to_json(F.struct(
-            asked.alias("specialty"), is_lead.alias("is_lead"),
-            F.concat(F.lit("Analyzing from "), label, F.lit(" perspective...")).alias("message"),
-        )))
+            asked.alias("specialty"), is_lead.alias("is_lead"), message("specialist", label))))
 
     def done(opinion: Column, i: Column) -> Column:
         return event("specialist_done", agent_key(F.get("asked", i)), F.to_json(opinion))
 
+    def stage(name: str) -> tuple[Column, Column]:
+        report = {"triage": "supervisor", "judge": "judge_report", "safety": "safety_report"}
+        return (
+            event(f"{name}_thinking", agent[name], F.to_json(F.struct(message(name)))),
+            event(f"{name}_done", agent[name], F.to_json(report[name])),
+        )
+
     summary = F.to_json(F.struct(
-        F.concat(F.lit("Summarizing reviews. Lead Specialist: "), lead, F.lit("."))
-        .alias("message"),
-        F.size(opinions).alias("total_specialists"),
-    ))
+        message("discussion", lead), F.size(opinions).alias("total_specialists")))
     whole = F.to_json(F.struct(
         "supervisor", "specialist_opinions", "consensus", "judge_report", "safety_report"
     ))
     log = F.concat(
-        F.array(
-            event("triage_thinking", "supervisor_agent",
-                  says("Supervisor analyzing clinical focus and determining specialist team...")),
-            event("triage_done", "supervisor_agent", F.to_json("supervisor")),
-            event("specialists_spawned", "orchestrator", spawned),
-        ),
+        F.array(*stage("triage"), event("specialists_spawned", agent["panel"], spawned)),
         F.transform(F.slice("asked", 1, F.size(opinions)), thinking),
         F.transform(opinions, done),
         F.array(
-            event("consensus_done", "orchestrator", F.to_json("consensus")),
-            event("discussion_summary", "orchestrator", summary),
-            event("judge_thinking", "judge_agent",
-                  says("Medical Judge synthesizing reviews and resolving conflicts...")),
-            event("judge_done", "judge_agent", F.to_json("judge_report")),
-            event("safety_thinking", "safety_agent",
-                  says("Final safety agent verifying Judge's report against documents...")),
-            event("safety_done", "safety_agent", F.to_json("safety_report")),
+            event("consensus_done", agent["panel"], F.to_json("consensus")),
+            event("discussion_summary", agent["panel"], summary),
+            *stage("judge"), *stage("safety"),
             event("pipeline_complete", "", whole),
         ),
     )
