@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quorate.llm.common import table
 from quorate.llm.exact_dedup import exact_dedup
+from quorate.llm.simhash import near_duplicates
 from quorate.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Query]:
     """The ``opN_`` functions of this module by name."""
     return {
