@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quorate.llm.common import table
 from quorate.llm.exact_dedup import exact_dedup
+from quorate.llm.labelled import fold
 from quorate.llm.simhash import near_duplicates
 from quorate.llm.token_counts import token_counts
+from quorate.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +34,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+        in_training=fold(4) != 2, held_out=fold(4) == 2,
+    )
+
+
 def registered() -> dict[str, Query]:
     """The ``opN_`` functions of this module by name."""
     return {

@@ -107,7 +107,7 @@ def text_counter(encode: Callable[[list[str]], list[int]],
         for text in texts:
             total = 0
             for words in pretokens(text):
-                missed = list(set(words) - known.keys())
+                missed = [word for word in set(words) if word not in known]
                 known.update(zip(missed, encode(missed), strict=True))
                 total += sum(map(known.__getitem__, words))
                 for key in long_keys(missed):
