@@ -11,4 +11,28 @@ ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER same AS kept, text_sha256
         FROM hashed WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op5_decontamination": """
+        WITH words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')),
+                '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM documents
+        ), items AS (
+            SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')),
+                '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark
+        ), doc_words AS (
+            SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM words
+        ), item_words AS (
+            SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS ipos
+            FROM items WHERE len(ws) >= 5
+        ), same AS (
+            SELECT doc_id, item_id, n, pos - ipos AS shift, ipos,
+                   count(*) OVER (PARTITION BY doc_id, item_id, pos - ipos) AS matched,
+                   count(*) OVER (PARTITION BY doc_id, item_id, pos - ipos ORDER BY ipos
+                       RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS run
+            FROM doc_words JOIN item_words USING (w)
+            QUALIFY matched >= least(n, 13) - least(n, 13) // 5
+        )
+        SELECT doc_id, item_id, max(n) AS item_tokens, max(matched) AS matched_tokens
+        FROM same WHERE run >= least(n, 13) - least(n, 13) // 5
+        GROUP BY doc_id, item_id
+    """,
 }

@@ -143,7 +143,7 @@ def selected(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def fit(sets: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]],
-        share: float, penalty: float = 1.0, ridge: float = 1e-4, rounds: int = 400) -> ToxicityModel:
+        share: float, penalty: float = 1.0, ridge: float = 3e-5, rounds: int = 400) -> ToxicityModel:
     """A logistic model on the selected features, in plain numpy.
 
     Adds ``penalty`` times the mean squared change of the score over the swaps. The
