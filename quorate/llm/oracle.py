@@ -2,7 +2,65 @@
 
 from __future__ import annotations
 
+
+def _mixing() -> str:
+    """The fitting of ten rounds, unrolled: one common table expression per step."""
+    count = "floor((len(t) - len(replace(t, '{m}', ''))) / {n})"
+    marks = " + ".join(count.format(m=m, n=3) for m in ("***", "%%%", "###", "$$$", "&&&"))
+    steps, last = [], "goals"
+    for k in range(10):
+        for d in ("source", "lang", "topic"):
+            steps.append(
+                f"r{k}_{d} AS (SELECT * REPLACE (w * goal_{d} / sum(w) OVER "
+                f"(PARTITION BY {d}) AS w) FROM {last})"
+            )
+            last = f"r{k}_{d}"
+        steps.append(f"r{k} AS (SELECT * REPLACE (least(w, tokens) AS w) FROM {last})")
+        last = f"r{k}"
+    share = "sum(tokens) OVER (PARTITION BY {d}) / sum(tokens) OVER ()"
+    return f"""
+        WITH described AS (
+            SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+                   coalesce(text, '') AS t,
+                   len(list_filter(regexp_split_to_array(coalesce(text, ''),
+                       '[\\x09-\\x0D ]+'), lambda w: w <> '')) AS n
+            FROM documents
+        ), docs AS (
+            SELECT doc_id, source, lang, n, CASE WHEN n = 0 THEN 'empty'
+                WHEN {count.format(m="|", n=1)} * 20 >= n THEN 'tables'
+                WHEN {count.format(m="!!", n=2)} * 20 >= n THEN 'shouting'
+                WHEN ({marks}) * 20 >= n THEN 'symbols' ELSE 'prose' END AS topic
+            FROM described
+        ), cells AS (
+            SELECT source, lang, topic, sum(n)::DOUBLE AS tokens FROM docs
+            GROUP BY ALL HAVING sum(n) > 0
+        ), raw AS (
+            SELECT *, pow({share.format(d="source")}, 0.7) AS raw_source,
+                   pow({share.format(d="lang")}, 0.8) AS raw_lang,
+                   CASE topic WHEN 'prose' THEN 0.94 WHEN 'tables' THEN 0.02
+                       WHEN 'shouting' THEN 0.02 WHEN 'symbols' THEN 0.02
+                       ELSE {share.format(d="topic")} END AS raw_topic
+            FROM cells
+        ), goals AS (
+            SELECT source, lang, topic, tokens, tokens * 0.8 AS w,
+                   raw_source / (SELECT sum(x) FROM (SELECT DISTINCT source, raw_source AS x
+                       FROM raw)) * sum(tokens) OVER () * 0.8 AS goal_source,
+                   raw_lang / (SELECT sum(x) FROM (SELECT DISTINCT lang, raw_lang AS x
+                       FROM raw)) * sum(tokens) OVER () * 0.8 AS goal_lang,
+                   raw_topic / (SELECT sum(x) FROM (SELECT DISTINCT topic, raw_topic AS x
+                       FROM raw)) * sum(tokens) OVER () * 0.8 AS goal_topic
+            FROM raw
+        ), {", ".join(steps)}
+        SELECT doc_id, docs.source, docs.lang, docs.topic, n AS n_tokens,
+               coalesce(round(w / tokens, 6), 1.0) AS probability,
+               ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 12))::BIGINT
+                   / 281474976710656.0::DOUBLE < coalesce(round(w / tokens, 6), 1.0) AS kept
+        FROM docs LEFT JOIN {last} USING (source, lang, topic)
+    """
+
+
 ORACLE: dict[str, str] = {
+    "op4_mixing": _mixing(),
     "op2_exact_dedup": """
         WITH hashed AS (
             SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents

@@ -10,6 +10,7 @@ from quorate.llm.common import table
 from quorate.llm.decontaminate import benchmark_overlaps
 from quorate.llm.exact_dedup import exact_dedup
 from quorate.llm.labelled import fold
+from quorate.llm.mixing import mixed
 from quorate.llm.simhash import near_duplicates
 from quorate.llm.token_counts import token_counts
 from quorate.llm.toxicity import toxicity
@@ -31,6 +32,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_overlaps(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
