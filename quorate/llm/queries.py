@@ -12,8 +12,10 @@ from quorate.llm.exact_dedup import exact_dedup
 from quorate.llm.labelled import fold
 from quorate.llm.mixing import mixed
 from quorate.llm.simhash import near_duplicates
+from quorate.llm.token_files import read_token_files, write_token_files
 from quorate.llm.token_counts import token_counts
 from quorate.llm.toxicity import toxicity
+from quorate.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +44,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_file_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Write the documents as token files in the shared folder and read them back."""
+    path = scratch_path(spark, "tokens")
+    write_token_files(docs, _tokenizer("word_bpe_49k.json"), 2, path)
+    return read_token_files(spark, path, with_ids=False)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digest(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
