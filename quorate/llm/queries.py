@@ -11,6 +11,7 @@ from quorate.llm.decontaminate import benchmark_overlaps
 from quorate.llm.exact_dedup import exact_dedup
 from quorate.llm.labelled import fold
 from quorate.llm.mixing import mixed
+from quorate.llm.quality import quality
 from quorate.llm.simhash import near_duplicates
 from quorate.llm.token_files import read_token_files, write_token_files
 from quorate.llm.token_counts import token_counts
@@ -59,6 +60,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+        in_training=fold(5) != 0, held_out=fold(5) == 0,
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
