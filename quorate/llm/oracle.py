@@ -93,4 +93,27 @@ ORACLE: dict[str, str] = {
         FROM same WHERE run >= least(n, 13) - least(n, 13) // 5
         GROUP BY doc_id, item_id
     """,
+    "op8_chat": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations
+            UNION ALL
+            SELECT -1, t.turn, t.role, '</s>[INST] ok [/INST]'
+            FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)
+        ), sized AS (
+            SELECT *, length(text) + len(regexp_extract_all(text,
+                       '</?s>|\[/?INST\]|<</?SYS>>|<</?ROLE>>'))
+                   + CASE role WHEN 'user' THEN 16 WHEN 'assistant' THEN 10
+                         WHEN 'system' THEN 18 ELSE 30 + length(role) END AS chars
+            FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+                   AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                   FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(chars)::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """,
 }
