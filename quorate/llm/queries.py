@@ -11,6 +11,7 @@ from quorate.llm.common import table
 from quorate.llm.decontaminate import benchmark_overlaps
 from quorate.llm.exact_dedup import exact_dedup
 from quorate.llm.labelled import fold
+from quorate.llm.line_dedup import line_dedup
 from quorate.llm.mixing import mixed
 from quorate.llm.quality import quality
 from quorate.llm.simhash import near_duplicates
@@ -36,6 +37,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
