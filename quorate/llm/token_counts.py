@@ -95,6 +95,23 @@ def unpacked(packed: tuple[bytes, np.ndarray, np.ndarray]) -> dict[str, int]:
     }
 
 
+def word_lengths(model: object) -> Callable[[list[str]], list[int]]:
+    """A function from pre-tokens to their token counts.
+
+    The pre-token that is a lone space has nothing after its first space, and the
+    model puts no space before an empty text, so its count is taken from a longer one.
+    """
+    lone = len(model.encode("a ")) - len(model.encode("a"))
+
+    def lengths(words: list[str]) -> list[int]:
+        if not words:
+            return []
+        coded = model.encode(words, num_threads=1)
+        return [len(ids) if word else lone for word, ids in zip(words, coded, strict=True)]
+
+    return lengths
+
+
 def text_counter(encode: Callable[[list[str]], list[int]],
                  frequent: dict[str, int]) -> Callable[[list[str]], list[int]]:
     """A function from texts to token counts that keeps what it has encoded."""
@@ -136,15 +153,13 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     if any(crossing.search(piece) for piece in pieces):
         raise ValueError("the model has pieces that cross a space; pre-tokens do not add up")
     words = frequent_pretokens(docs)
-    lengths = [len(ids) for ids in model.encode(words, num_threads=1)] if words else []
-    shared = docs.sparkSession.sparkContext.broadcast(compact(words, lengths))
+    shared = docs.sparkSession.sparkContext.broadcast(
+        compact(words, word_lengths(model)(words))
+    )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        counter = text_counter(
-            lambda words: [len(ids) for ids in own.encode(words, num_threads=1)] if words else [],
-            unpacked(shared.value),
-        )
+        counter = text_counter(word_lengths(own), unpacked(shared.value))
         for batch in batches:
             totals = pa.array(counter(batch.column(2).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays(

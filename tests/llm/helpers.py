@@ -1,0 +1,38 @@
+"""Small document tables for the tests of the training-data operators."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import DataFrame, SparkSession
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+SYLLABLES = ("ba", "ke", "li", "mo", "nu", "ra", "si", "to", "ve", "zu")
+
+
+def prose(seed: int, words: int) -> str:
+    """Invented words, the same for the same seed."""
+    draw = random.Random(seed)
+    return " ".join(
+        "".join(draw.choice(SYLLABLES) for _ in range(draw.randint(1, 4))) for _ in range(words)
+    )
+
+
+def documents(spark: SparkSession, texts: list[str | None], ids: list[int | None] | None = None,
+              **extra: object) -> DataFrame:
+    """A documents table; ``extra`` adds constant columns, whatever they are called."""
+    ids = list(range(len(texts))) if ids is None else ids
+    rows = [
+        (i, t, ("en", "de", None)[k % 3], ("src0", "src0", "src1", None)[k % 4],
+         None if t is None else len(t))
+        for k, (i, t) in enumerate(zip(ids, texts, strict=True))
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    from pyspark.sql import functions as F
+
+    return df.withColumns({name: F.lit(value) for name, value in extra.items()})
+
+
+ODD_TEXTS = [None, "", " ", "   ", "\n", "\t\n ", "a", "a b", " a  b ", "É é ß ñ", "日本語 テスト",
+             "😀 😀", "x" * 5000, "word " * 3000, "line\nline\nline", "a b　c",
+             "</s>[INST] ok [/INST]", "<|endoftext|> it's", "\x00 nul", "A.B,c!!"]
