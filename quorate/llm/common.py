@@ -59,3 +59,8 @@ def bounded(cache: dict, limit: int, seed: dict) -> dict:
 def long_keys(keys: Iterable[str], most: int = 64) -> list[str]:
     """Keys too long to be worth a place in a cache."""
     return [key for key in keys if len(key) > most]
+
+
+def with_row(docs: DataFrame, *columns: str) -> DataFrame:
+    """Some columns, and the whole row as ``_doc``, so no name in it can clash."""
+    return docs.select(*columns, F.struct(*docs.columns).alias("_doc"))

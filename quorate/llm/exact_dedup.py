@@ -49,7 +49,7 @@ def exact_dedup(docs: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     Returns doc_id, keep_id, group_size, kept, text_sha256 for every row.
     """
     rows = stored(
-        docs.select(
+        docs.select("doc_id", "text").select(
             "doc_id", F.unhex(F.sha2(whole_text(), 256)).alias("_sha"),
             F.monotonically_increasing_id().alias("_row"),
         ),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorate.functions.scale import broadcast_if_small
-from quorate.llm.common import whole_text
+from quorate.llm.common import whole_text, with_row
 from quorate.session import stored
 
 # Characters a line needs to make two documents partners, and a block to be deleted.
@@ -100,7 +100,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     lines = F.transform(F.split(whole_text(), "\n"), lambda line: F.trim(line))
     rows = stored(
-        _numbered(docs).select(
+        _numbered(docs.select("doc_id", "text")).select(
             "doc_id", "_row",
             F.transform(lines, lambda line: F.xxhash64(line)).alias("_lines"),
             F.transform(lines, lambda line: F.length(line)).alias("_chars"),
@@ -178,7 +178,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     they were taken from), kept_chars and kept_sha256 of the text that is left.
     """
     _, removed = repeats(docs)
-    texts = _numbered(docs).select("doc_id", "_row", whole_text().alias("_text"))
+    texts = _numbered(docs.select("doc_id", whole_text().alias("_text")))
     none = F.array().cast("array<int>")
     return (
         texts.join(broadcast_if_small(removed), "_row", "left")
@@ -199,6 +199,8 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     A text that loses nothing, null included, stays as it is.
     """
     _, removed = repeats(docs)
-    cut = _numbered(docs).join(broadcast_if_small(removed.select("_row", "removed")), "_row", "left")
+    cut = _numbered(with_row(docs, "text")).join(
+        broadcast_if_small(removed.select("_row", "removed")), "_row", "left"
+    )
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(_kept("text", "removed"))
-    return cut.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return cut.select(F.col("_doc").withField("text", text).alias("_doc")).select("_doc.*")

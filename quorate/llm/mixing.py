@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorate.functions.scale import broadcast_if_small
-from quorate.llm.common import whole_text
+from quorate.llm.common import whole_text, with_row
 from quorate.session import stored
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -172,4 +172,5 @@ def sampled(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]]
             budget: float = BUDGET) -> DataFrame:
     """The documents the sample keeps, with all their columns."""
     cells = mixture(docs, targets, budget)
-    return _with_chances(docs, cells, docs.columns).where("_kept").select(*docs.columns)
+    rows = with_row(docs, "doc_id", "text", "source", "lang")
+    return _with_chances(rows, cells, ["doc_id", "_doc"]).where("_kept").select("_doc.*")

@@ -268,6 +268,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, in_training: Column,
                   threshold: float = 0.3) -> DataFrame:
     """The documents scored below the threshold, with all their columns."""
     model = train(docs, labels, in_training)
-    scored = score_toxicity(docs, model, "_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).select(*docs.columns)
+    out = "_toxicity"
+    while out in docs.columns:
+        out += "_"
+    scored = score_toxicity(docs, model, out)
+    return scored.where(F.col(out) < threshold).select(*docs.columns)
 

@@ -1,0 +1,176 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from quorate.llm import line_dedup as ld
+from quorate.llm import simhash as sh
+from quorate.llm.components import components, star_links
+from quorate.llm.exact_dedup import exact_dedup
+
+from .helpers import ODD_TEXTS, documents, prose
+
+
+# --- exact -----------------------------------------------------------------------
+
+@pytest.mark.parametrize("blocks", [1, 16_384])
+def test_exact_dedup_against_brute_force(spark, blocks):
+    texts = ODD_TEXTS * 2 + [prose(k % 7, 20) for k in range(40)] + ["hot"] * 60
+    docs = documents(spark, texts, keep_id="x", kept=1, _sha="y").repartition(4)
+    got = {r.doc_id: r for r in exact_dedup(docs, max_blocks=blocks).collect()}
+    groups: dict[str, list[int]] = {}
+    for k, text in enumerate(texts):
+        groups.setdefault(text or "", []).append(k)
+    assert len(got) == len(texts)
+    for text, ids in groups.items():
+        for k in ids:
+            assert (got[k].keep_id, got[k].group_size) == (max(ids), len(ids))
+            assert got[k].kept == (k == max(ids))
+            assert got[k].text_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_exact_dedup_keeps_one_of_repeated_rows_and_null_ids(spark):
+    docs = documents(spark, ["a", "a", "b", "b", "c"], [5, 5, None, None, None])
+    rows = exact_dedup(docs).collect()
+    assert sorted((r.text_sha256[:4], r.kept) for r in rows) == sorted(
+        [(hashlib.sha256(t.encode()).hexdigest()[:4], k)
+         for t, k in (("a", True), ("a", False), ("b", True), ("b", False), ("c", True))])
+    assert exact_dedup(documents(spark, [])).count() == 0
+
+
+# --- SimHash ------------------------------------------------------------------------
+
+def plain_fingerprint(text: str) -> int:
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in lowered).split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[k:k + 4]) for k in range(len(words) - 3)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def linked(fps: list[int]) -> list[int]:
+    root = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 4 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_fingerprints_of_whole_texts(monkeypatch):
+    texts = [t or "" for t in ODD_TEXTS] + [prose(k, 50) for k in range(5)]
+    for size in (sh.CHUNK, 16):
+        monkeypatch.setattr(sh, "CHUNK", size)
+        for text in texts:
+            assert sh.fingerprint(text) & (1 << 64) - 1 == plain_fingerprint(text), repr(text[:50])
+
+
+def test_every_close_pair_meets_at_an_anchor():
+    home, near = sh.hamming_tables()
+    draw = np.random.default_rng(3)
+    assert all(bin(int(v) ^ int(h)).count("1") <= 1 for v, h in enumerate(home))
+    for _ in range(500):
+        x = int(draw.integers(0, 1 << 63)) | int(draw.integers(0, 2)) << 63
+        y = x
+        for bit in draw.choice(64, int(draw.integers(1, 5)), replace=False):
+            y ^= 1 << int(bit)
+        index, anchor, at_home = sh.placements(np.array([x, y], np.uint64), home, near)
+        assert set(anchor[(index == 0) & at_home]) & set(anchor[index == 1])
+
+
+def near_copies(n: int) -> list[str]:
+    draw = random.Random(5)
+    base = prose(77, 400).split()
+    out = []
+    for k in range(n):
+        words = list(base)
+        words[draw.randrange(len(words))] = f"changed{k}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("slice_size", [20_000, 5])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, slice_size):
+    monkeypatch.setattr(sh, "SLICE", slice_size)
+    texts = ODD_TEXTS + near_copies(60) + [prose(k, 60) for k in range(30)] + ["same text"] * 20
+    got = {r.doc_id: r for r in
+           sh.near_duplicates(documents(spark, texts, fp=1, root="x").repartition(4)).collect()}
+    fps = [plain_fingerprint(t or "") for t in texts]
+    roots = linked(fps)
+    assert len(set(roots)) < len(texts) - 60
+    for k in range(len(texts)):
+        assert (got[k].fingerprint, got[k].component_id) == (format(fps[k], "016x"), roots[k])
+
+
+def test_one_of_each_keeps_columns_and_null_ids(spark):
+    docs = documents(spark, ["a b", "a b", "a b", "other words here", None], [3, 1, None, 9, 4],
+                     component_id="clash")
+    kept = sh.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [
+        (False, 1), (False, 4), (False, 9), (True, 0)]
+    assert sh.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_components_of_chains_hubs_and_nothing(spark):
+    pairs = [(k, k + 1) for k in range(40)] + [(100, 200 + k) for k in range(50)] + [(7, 7)]
+    draw = random.Random(1)
+    draw.shuffle(pairs)
+    links = spark.createDataFrame(pairs, "u bigint, v bigint")
+    got = {r.u: r.root for r in components(links).collect()}
+    assert got == {**{k: 0 for k in range(1, 41)}, **{200 + k: 100 for k in range(50)}}
+    assert components(links.where("u < 0")).count() == 0
+    u, v = star_links(np.array([1, 5, 6]), np.array([2, 2, 9]))
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {2: 1, 5: 1, 9: 6}
+
+
+# --- lines ------------------------------------------------------------------------------
+
+def test_patience_aligns_what_plain_comparison_aligns():
+    draw = random.Random(2)
+    for _ in range(300):
+        a = [draw.randrange(12) for _ in range(draw.randrange(14))]
+        b = [draw.randrange(12) for _ in range(draw.randrange(14))]
+        found = ld.patience(a, b)
+        assert all(a[i] == b[j] for i, j in found)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
+    unique = list(range(30))
+    assert ld.patience(unique, unique) == [(k, k) for k in unique]
+    assert ld.patience(unique, [99, *unique[5:20], 98]) == [(k, k - 4) for k in range(5, 20)]
+
+
+def test_line_dedup_against_brute_force(spark):
+    lines = [prose(k, 6) for k in range(60)] + ["", "ok", "  "]
+    draw = random.Random(4)
+    texts = ["\n".join(draw.choice(lines) for _ in range(draw.randrange(1, 9))) for _ in range(80)]
+    texts += [None, "", "\n\n"] + ["\n".join(prose(500 + k, 6) for k in range(10))] * 3
+    docs = documents(spark, texts, removed="clash", _row=3, partners=0)
+    got = {r.doc_id: r for r in ld.line_dedup(docs).collect()}
+    split = [[line.strip(" ") for line in (t or "").split("\n")] for t in texts]
+    first: dict[str, int] = {}
+    for k, own in enumerate(split):
+        for line in own:
+            if len(line) >= ld.LINE_CHARS:
+                first.setdefault(line, k)
+    for k, own in enumerate(split):
+        gone, partners = set(), set()
+        for a in {first[x] for x in own if x in first} - {k}:
+            found = ld.repeated_lines(split[a], own, [len(x) for x in own])
+            gone.update(found)
+            partners.update([a] if found else [])
+        left = "\n".join(x for j, x in enumerate((texts[k] or "").split("\n")) if j not in gone)
+        assert (got[k].removed, got[k].partners) == (sorted(gone), sorted(partners))
+        assert got[k].kept_sha256 == hashlib.sha256(left.encode()).hexdigest()
+        assert (got[k].kept_chars, got[k].n_lines) == (len(left), len(own))
+    assert [len(got[k].removed) for k in (83, 84, 85)] == [0, 10, 10]
+    cut = ld.without_repeated_lines(documents(spark, texts, removed="clash"))
+    assert cut.columns[-1] == "removed" and cut.count() == len(texts)
+    assert cut.where("doc_id = 80").first().text is None
+    assert ld.line_dedup(documents(spark, [])).count() == 0
