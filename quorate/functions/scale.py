@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 # A side is broadcast only below both bounds.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Only tables up to this size are dealt out to more tasks than they have splits.
+SPREAD_BYTES = 256 * 1024 * 1024
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -47,15 +50,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS,
     return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out an input with fewer splits than cores before CPU-heavy work.
+def spread(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Deal out a small input with fewer splits than cores before CPU-heavy work.
 
     A table in one or two small files would otherwise be read, and its text cut
-    into words, by one or two tasks. Inputs with enough splits, so every large
-    table, pass through untouched and are not shuffled.
+    into words, by one or two tasks. A table above ``max_bytes``, by Spark's own
+    estimate, is never shuffled, however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > max_bytes or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -102,13 +108,18 @@ def carry(df: DataFrame, keys: Sequence[str], seq: str, value: Column, out: str,
     carried = handed.select(
         *keys, "_block", F.last("_edge", ignorenulls=True).over(earlier).alias("_carried")
     )
+    # Null keys are keys like any other.
+    handed_on = carried.select(
+        *[F.col(key).alias(f"_key{i}") for i, key in enumerate([*keys, "_block"])], "_carried"
+    )
+    same = [F.col(key).eqNullSafe(F.col(f"_key{i}")) for i, key in enumerate([*keys, "_block"])]
     return (
-        cut.join(carried, [*keys, "_block"])
+        cut.join(handed_on, reduce(lambda a, b: a & b, same))
         .withColumn(
             out,
             F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_carried")),
         )
-        .drop("_block", "_value", "_carried")
+        .drop("_block", "_value", "_carried", *[f"_key{i}" for i in range(len(same))])
     )
 
 

@@ -168,6 +168,12 @@ def panel_breakdown(opinions: DataFrame) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows of each case numbered from 0 in listed order; none is left out."""
+    listed = Window.partitionBy("case_id").orderBy("pos")
+    return rows.withColumn("pos", F.row_number().over(listed) - 1)
+
+
 def cap_panel(team: DataFrame, max_specialists: int = fixed.MAX_SPECIALISTS) -> DataFrame:
     """The first N rows of each case in listed order, renumbered from 0.
 

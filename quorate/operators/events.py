@@ -294,8 +294,9 @@ def barrier_panels(events: DataFrame) -> DataFrame:
     """The specialist answers that complete each case's first spawned panel.
 
     A case is complete once as many specialists are done as its first spawn
-    announced (``count``, at most ten); its panel is those first answers in
-    ``seq`` order, whether they came before or after the spawn.
+    announced (``count``); its panel is those first answers in ``seq`` order,
+    whether they came before or after the spawn. The largest announced count
+    bounds what a map task sends of a case.
     """
     payload = _payload()
     spawns = (
@@ -303,12 +304,13 @@ def barrier_panels(events: DataFrame) -> DataFrame:
         .groupBy("case_id")
         .agg(F.min_by(payload["count"], "seq").alias("expected"))
     )
+    largest = spawns.agg(F.coalesce(F.max("expected"), F.lit(0)).alias("n")).first().n
     done = cap_panel(
         events.where(F.col("type") == "specialist_done").select(
             "case_id", F.col("seq").alias("pos"), "agent_name",
             payload["confidence"].alias("confidence"),
         ),
-        fixed.MAX_SPECIALISTS,
+        largest,
     )
     return clean_confidence(
         done.join(spawns, "case_id").where(F.col("pos") < F.col("expected"))
@@ -338,8 +340,10 @@ def rounded_scores(scored: DataFrame) -> DataFrame:
 def emit_trace(assessments: DataFrame) -> DataFrame:
     """The ordered events of finished cases, built inside each assessment row.
 
-    Every assessment (a panel has at most ten opinions) explodes into its own
-    event list: no shuffle, no numbering window. Run it on stored assessments.
+    Every assessment explodes into its own event list: no shuffle, no numbering
+    window. Everyone asked is announced and starts; an answer that could not be
+    used is missing among the done ones, which keep their seats' names. Run it on
+    stored assessments.
     """
     def event(kind: str, agent: Column | str, data: Column) -> Column:
         name = F.lit(agent) if isinstance(agent, str) else agent
@@ -355,7 +359,7 @@ def emit_trace(assessments: DataFrame) -> DataFrame:
     opinions = F.col("specialist_opinions")
     spawned = F.to_json(F.struct(
         F.col("asked").alias("specialties"), lead.alias("lead_specialist"),
-        F.size(opinions).alias("count"),
+        F.size("asked").alias("count"),
     ))
 
     def thinking(asked: Column) -> Column:
@@ -365,7 +369,8 @@ def emit_trace(assessments: DataFrame) -> DataFrame:
             asked.alias("specialty"), is_lead.alias("is_lead"), message("specialist", label))))
 
     def done(opinion: Column, i: Column) -> Column:
-        return event("specialist_done", agent_key(F.get("asked", i)), F.to_json(opinion))
+        asked = F.get("asked", F.get("seats", i))
+        return event("specialist_done", agent_key(asked), F.to_json(opinion))
 
     def stage(name: str) -> tuple[Column, Column]:
         report = {"triage": "supervisor", "judge": "judge_report", "safety": "safety_report"}
@@ -381,7 +386,7 @@ def emit_trace(assessments: DataFrame) -> DataFrame:
     ))
     log = F.concat(
         F.array(*stage("triage"), event("specialists_spawned", agent["panel"], spawned)),
-        F.transform(F.slice("asked", 1, F.size(opinions)), thinking),
+        F.transform("asked", thinking),
         F.transform(opinions, done),
         F.array(
             event("consensus_done", agent["panel"], F.to_json("consensus")),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorate.fixed_values import UNKNOWN_SPECIALTY
 from quorate.functions.scale import spread
-from quorate.operators.agreement import cap_panel
+from quorate.operators.agreement import cap_panel, numbered
 from quorate.operators.prepare import nest_documents
 
 DOCS_PER_CASE = 5
@@ -64,6 +64,18 @@ def panel_team(panel: DataFrame) -> DataFrame:
     )
 
 
+def seats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every answer with its seat and the specialty that was asked there."""
+    asked = answers(spark, sf_dir).withColumn(
+        "asked", F.concat(F.lit("S"), F.col("pos.l_linenumber")))
+    return numbered(asked)
+
+
+def asked_team(seated: DataFrame) -> DataFrame:
+    """The team that was asked, whether its answers could be used or not."""
+    return panel_team(seated.select("case_id", "pos", F.col("asked").alias("specialty")))
+
+
 def panel_leads(panel: DataFrame) -> DataFrame:
     return panel_team(panel).where("is_lead")
 
@@ -93,8 +105,10 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_partkey") % 2 == 0,
                F.concat(F.lit("Keep  "), "l_returnflag", "l_linestatus", F.lit(".")))
         .otherwise(F.concat(F.lit("keep "), F.lower(F.concat("l_returnflag", "l_linestatus"))))))
+    # Kind 9 quotes a part that is not on the line.
+    part = F.col("l_partkey") + (kind == 9).cast("bigint")
     quotes = F.when(kind == 8, pair("evidence_quotes", "[null]")).otherwise(
-        pair("evidence_quotes", F.concat(F.lit('["part '), F.col("l_partkey"), F.lit('"]'))))
+        pair("evidence_quotes", F.concat(F.lit('["part '), part, F.lit('"]'))))
     value = (
         F.when(kind == 1, pair("confidence", '"high"'))
         .when(kind == 2, pair("confidence", (confidence + 1).cast("string")))
@@ -136,7 +150,7 @@ def triage_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.select(F.col("o_orderkey").alias("case_id"), raw.alias("raw"))
 
 
-def panel_facts(spark: SparkSession, sf_dir: str, capped: bool = True) -> DataFrame:
+def panel_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as facts: the status each line gives for its return flag."""
     rows = spread(table(spark, sf_dir, "lineitem")).select(
         F.col("l_orderkey").alias("case_id"),
@@ -144,7 +158,7 @@ def panel_facts(spark: SparkSession, sf_dir: str, capped: bool = True) -> DataFr
         F.concat(F.lit("S"), F.col("l_linenumber")).alias("specialty"),
         F.col("l_returnflag").alias("attribute"), F.col("l_linestatus").alias("value"),
     )
-    return cap_panel(rows) if capped else rows
+    return numbered(rows)
 
 
 # --- cases over documents ------------------------------------------------------
@@ -180,16 +194,17 @@ def single_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def first_line_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opinions quoting a first line: each case's own, and the next case's."""
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring_index("text", "\n", 1).alias("line")
+def line_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opinions quoting every line: each case's own, and the next case's."""
+    docs = texts(spark, sf_dir).select(
+        "doc_id",
+        F.filter(F.split("text", "\n"), lambda line: F.trim(line) != "").alias("lines"),
     )
 
     def opinion(case_id: Column, pos: int, specialty: str) -> DataFrame:
         return docs.select(
             case_id.alias("case_id"), F.lit(pos).alias("pos"),
-            F.lit(specialty).alias("specialty"), F.array("line").alias("evidence_quotes"),
+            F.lit(specialty).alias("specialty"), F.col("lines").alias("evidence_quotes"),
         )
 
     return opinion(F.col("doc_id"), 0, "Own").unionByName(
@@ -197,17 +212,20 @@ def first_line_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def first_line_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_line_quotes(spark, sf_dir).select(
-        "case_id", F.col("pos").alias("claim_no"), F.col("specialty").alias("specialist"),
-        F.col("evidence_quotes")[0].alias("claim"),
+def line_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quoted = line_quotes(spark, sf_dir).select(
+        "case_id", "pos", F.col("specialty").alias("specialist"),
+        F.posexplode("evidence_quotes").alias("quote_no", "claim"),
+    )
+    return quoted.select(
+        "case_id", (F.col("quote_no") * 2 + F.col("pos")).alias("claim_no"), "specialist", "claim"
     )
 
 
 # --- event log -----------------------------------------------------------------
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User events as the event log of a case per user."""
+def events(spark: SparkSession, sf_dir: str, largest_panel: int = 3) -> DataFrame:
+    """User events as the event log of a case per user; spawns announce 1 to N."""
     raw = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
@@ -219,7 +237,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = (
         F.when(kind == "signup", F.concat(
             F.lit('{"specialties": ['), names, F.lit('], "lead_specialist": "'), lead,
-            F.lit('", "count": '), (F.col("k") % 3 + 1).cast("string"), F.lit("}")))
+            F.lit('", "count": '), (F.col("k") % largest_panel + 1).cast("string"), F.lit("}")))
         .when(kind == "view", F.when(F.col("k") % 7 == 0, "{}").otherwise(
             F.concat(F.lit('{"message": "step '), F.col("k").cast("string"), F.lit('"}'))))
         .when(kind == "click", F.concat(

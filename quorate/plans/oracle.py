@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from quorate.functions.text import FACT
-from quorate.plans.queries import STALL_SECONDS
+from quorate.plans.queries import LARGE_PANEL, STALL_SECONDS
 
 # --- shared table expressions --------------------------------------------------
 
@@ -46,12 +45,10 @@ marked AS (
          AND (n * u - s1)::HUGEINT * (n * u - s1)::HUGEINT > v, false) AS is_outlier
   FROM units JOIN scored USING (case_id))"""
 
-_PANELS = """
+_NUMBERED = """
 panels AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ln, sk, pk, ep) - 1 AS pos
-    FROM {source})
-  WHERE pos < 10)"""
+  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ln, sk, pk, ep) - 1 AS pos
+  FROM {source})"""
 
 # Order lines as parsed answers, derived from the rule that broke them.
 _ANSWERS = """
@@ -71,7 +68,7 @@ answers AS (
          THEN 'Keep  ' || l_returnflag || l_linestatus || '.'
          ELSE 'keep ' || lower(l_returnflag || l_linestatus) END END AS recommendation,
     CASE WHEN kind IN (0, 6) THEN NULL WHEN kind = 8 THEN ''
-         ELSE 'part ' || l_partkey END AS quotes,
+         ELSE 'part ' || (l_partkey + CASE WHEN kind = 9 THEN 1 ELSE 0 END) END AS quotes,
     CASE WHEN kind IN (0, 1, 3, 6) THEN NULL WHEN kind = 2 THEN CAST(conf AS DOUBLE) + 1
          WHEN kind = 8 THEN 1.0 ELSE CAST(conf AS DOUBLE) END AS confidence
   FROM lines),
@@ -148,7 +145,10 @@ cases AS (
          max(CASE WHEN pos = 0 THEN split_part(text, chr(10), 1) END) AS question
   FROM case_docs GROUP BY case_id)"""
 
-_WORK = _SUPPORTED + "," + _CASES + """,
+# Teams as triage reports them: five members, then the support roles.
+_TEAMED = _SUPPORTED.replace("pos < 2", "pos < 5")
+
+_WORK = _TEAMED + "," + _CASES + """,
 work AS (
   SELECT case_id, pos, specialty, is_lead,
          'specialist_' || replace(lower(specialty), ' ', '_') AS agent_name,
@@ -184,33 +184,64 @@ matched AS (
 
 _FOLD = "trim(regexp_replace(lower({0}), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+# A word, then ':', '=', 'is', 'of' or blanks, then a number.
+_FACT = (
+    r"(\p{L}[\p{L}\p{N}]*)[ \t\n\r\f]*(?:[:=]|[ \t\n\r\f]is[ \t\n\r\f]"
+    r"|[ \t\n\r\f]of[ \t\n\r\f]|[ \t\n\r\f])[ \t\n\r\f]*([0-9]+(?:\.[0-9]+)?)"
+).replace("{", "{{").replace("}", "}}")
 _FACTS = (
-    "list_distinct(list_zip(regexp_extract_all(lower({0}), '" + FACT.replace("{", "{{").replace(
-        "}", "}}") + "', 1), regexp_extract_all(lower({0}), '" + FACT.replace(
-            "{", "{{").replace("}", "}}") + "', 2)))"
+    "list_distinct(list_zip(regexp_extract_all(lower({0}), '" + _FACT
+    + "', 1), regexp_extract_all(lower({0}), '" + _FACT + "', 2)))"
 )
 
-_CLAIMS = """
-firsts AS (SELECT doc_id, split_part(text, chr(10), 1) AS claim FROM documents),
+# Word edges without looking around: what may stand before and after a claim.
+_CLAIMS = ("""
+parted AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l
+  FROM documents),
+lines_of AS (
+  SELECT doc_id, unnest(l) AS claim, generate_subscripts(l, 1) - 1 AS quote_no FROM parted),
 claims AS (
-  SELECT doc_id AS case_id, 0 AS claim_no, 'Own' AS specialist, claim FROM firsts
+  SELECT doc_id AS case_id, 0 AS pos, 'Own' AS specialist, quote_no, claim FROM lines_of
   UNION ALL
-  SELECT doc_id - 1, 1, 'Next', claim FROM firsts WHERE doc_id >= 1),
+  SELECT doc_id - 1, 1, 'Next', quote_no, claim FROM lines_of WHERE doc_id >= 1),
+read_docs AS MATERIALIZED (
+  SELECT doc_id, """ + _FOLD.format("text") + """ AS doc,
+         list_distinct(""" + _WORDS.format("text") + """) AS dw,
+         """ + _FACTS.format("text") + """ AS df
+  FROM documents),
+folded AS (
+  SELECT c.*, quote_no * 2 + pos AS claim_no, doc, dw, df, """
+    + _FOLD.format("c.claim") + r""" AS f
+  FROM claims c LEFT JOIN read_docs d ON d.doc_id = c.case_id),
+first_found AS (
+  SELECT *, CASE WHEN f <> '' THEN strpos(doc, f) ELSE 0 END AS p0 FROM folded),
+edged AS (
+  SELECT *,
+         p0 > 0 AND (NOT regexp_matches(f, '^[\p{L}\p{N}]') OR regexp_matches(
+           substr(doc, greatest(p0 - 2, 1), p0 - greatest(p0 - 2, 1)),
+           '(?:^|[^\p{L}\p{N}.,]|(?:^|[^0-9])[.,])$'))
+         AND (NOT regexp_matches(f, '[\p{L}\p{N}]$') OR regexp_matches(
+           substr(doc, p0 + length(f), 2), '^(?:$|[^\p{L}\p{N}.,]|[.,](?:$|[^0-9]))')) AS whole,
+         '(?s)^(.*?' || CASE WHEN regexp_matches(f, '^[\p{L}\p{N}]')
+              THEN '(?:^|[^\p{L}\p{N}.,]|(?:^|[^0-9])[.,])' ELSE '' END
+            || ')' || regexp_escape(f) || CASE WHEN regexp_matches(f, '[\p{L}\p{N}]$')
+              THEN '(?:$|[^\p{L}\p{N}.,]|[.,](?:$|[^0-9]))' ELSE '' END AS pattern
+  FROM first_found),
 placed AS (
-  SELECT c.*, """ + _FOLD.format("d.text") + """ AS doc, """ + _FOLD.format("c.claim") + """ AS f,
-         d.text
-  FROM claims c LEFT JOIN documents d ON d.doc_id = c.case_id)"""
+  SELECT *, CASE WHEN whole THEN p0 WHEN p0 > 0 AND regexp_matches(doc, pattern)
+                 THEN length(regexp_extract(doc, pattern, 1)) + 1 END AS place
+  FROM edged)""")
 
 _VERDICTS = _CLAIMS + """,
 worded AS (
   SELECT *, list_distinct(""" + _WORDS.format("claim") + """) AS cw,
-         list_distinct(""" + _WORDS.format("text") + """) AS dw,
-         """ + _FACTS.format("claim") + """ AS cf, """ + _FACTS.format("text") + """ AS df
+         """ + _FACTS.format("claim") + """ AS cf
   FROM placed),
 verdicts AS (
   SELECT case_id, claim_no, specialist, claim,
     CASE
-      WHEN f <> '' AND contains(doc, f) THEN 'SAFE'
+      WHEN place IS NOT NULL THEN 'SAFE'
       WHEN len(list_filter(cf, lambda x:
              len(list_filter(df, lambda y: y[1] = x[1])) > 0
              AND len(list_filter(df, lambda y: y[1] = x[1] AND y[2] = x[2])) = 0)) > 0
@@ -288,13 +319,17 @@ SELECT conv_id AS case_id, role AS agent_name, string_agg(text, '' ORDER BY turn
   count(*) AS tokens
 FROM conversations GROUP BY ALL"""
 
-_ANSWER_PANELS = "WITH " + _ANSWERS + "," + _PANELS.format(source="voted") + """,
+_ANSWER_PANELS = "WITH " + _ANSWERS + "," + _NUMBERED.format(source="answers").replace(
+    "panels AS", "seats AS") + """,
+panels AS (
+  SELECT *, greatest(0.0, least(1.0, coalesce(confidence, 0.0))) AS c
+  FROM seats WHERE status <> 'failed'),
 active AS (
   SELECT * REPLACE (coalesce(specialty, 'Unknown') AS specialty) FROM panels WHERE c > 0)"""
 
 _RECOMMENDED = """
 lead AS (
-  SELECT case_id, coalesce(specialty, 'Unknown') AS lead FROM panels WHERE pos = 0),
+  SELECT case_id, 'S' || ln AS lead FROM seats WHERE pos = 0),
 stated AS (
   SELECT a.*, lower(replace(replace(recommendation, '  ', ' '), '.', '')) AS norm,
          CAST(floor(c * 1e6 + 0.5) AS BIGINT) AS u, lead
@@ -330,10 +365,11 @@ _ASSESSED = (
 called AS (SELECT * REPLACE (coalesce(specialty, 'Unknown') AS specialty) FROM panels),"""
     + _moments("called") + "," + _OUTLYING + "," + _NOTES + """,
 nested AS (
-  SELECT case_id, string_agg(specialty, ',' ORDER BY pos) AS specialties,
-         string_agg(coalesce(findings, '-'), '|' ORDER BY pos) AS findings,
-         max(CASE WHEN pos = 0 THEN specialty END) AS lead
-  FROM called GROUP BY case_id),
+  SELECT case_id, string_agg('S' || ln, ',' ORDER BY pos) AS specialties,
+         string_agg(CASE WHEN status <> 'failed' THEN coalesce(findings, '-') END, '|'
+                    ORDER BY pos) AS findings,
+         max(CASE WHEN pos = 0 THEN 'S' || ln END) AS lead
+  FROM seats GROUP BY case_id),
 last_by_name AS (
   SELECT case_id, specialty, arg_max(c, pos) AS c FROM called GROUP BY ALL),
 by_name AS (
@@ -343,12 +379,11 @@ listed AS (
   SELECT case_id, string_agg(recommendation, '|' ORDER BY rank) AS recommendations
   FROM recs GROUP BY case_id),
 shown AS (
-  SELECT l_orderkey AS case_id, arg_min('part ' || l_partkey,
-           (l_linenumber, 'part ' || l_partkey)) AS doc
+  SELECT l_orderkey AS case_id, list('part ' || l_partkey) AS docs
   FROM lineitem GROUP BY l_orderkey),
 checked AS (
-  SELECT a.case_id, contains(doc, quotes) AS safe,
-         NOT contains(doc, quotes) AS contra
+  SELECT a.case_id, list_contains(docs, quotes) AS safe,
+         NOT list_contains(docs, quotes) AS contra
   FROM active a JOIN shown USING (case_id) WHERE quotes <> ''),
 safety AS (
   SELECT case_id, count(*) FILTER (safe) AS verified, count(*) FILTER (NOT safe) AS flagged,
@@ -360,30 +395,38 @@ _ROWS_OF_CASE = """
 lead_of AS (SELECT case_id, coalesce(lead, '') AS lead FROM (
   SELECT o_orderkey AS case_id FROM orders) LEFT JOIN nested USING (case_id)),
 sized AS (
-  SELECT case_id, lead, coalesce(m, 0) AS m FROM lead_of LEFT JOIN (
-    SELECT case_id, count(*) AS m FROM panels GROUP BY case_id) USING (case_id)),
+  SELECT case_id, lead, coalesce(m, 0) AS m, coalesce(d, 0) AS d FROM lead_of LEFT JOIN (
+    SELECT case_id, count(*) AS m, count(*) FILTER (status <> 'failed') AS d
+    FROM seats GROUP BY case_id) USING (case_id)),
+done AS (
+  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY pos) - 1 AS place FROM panels),
 steps AS (
   SELECT case_id, 0 AS seq, 'triage_thinking' AS type, 'supervisor_agent' AS agent_name,
     NULL AS lead,
-    'Supervisor analyzing clinical focus and determining specialist team...' AS message FROM sized
-  UNION ALL SELECT case_id, 1, 'triage_done', 'supervisor_agent', nullif(lead, ''), NULL
+    'Supervisor analyzing clinical focus and determining specialist team...' AS message,
+    NULL AS count, NULL AS findings FROM sized
+  UNION ALL SELECT case_id, 1, 'triage_done', 'supervisor_agent', nullif(lead, ''), NULL,
+    NULL, NULL FROM sized
+  UNION ALL SELECT case_id, 2, 'specialists_spawned', 'orchestrator', lead, NULL, CAST(m AS VARCHAR), NULL FROM sized
+  UNION ALL SELECT p.case_id, 3 + pos, 'specialist_thinking', 'specialist_s' || ln,
+    NULL, 'Analyzing from S' || ln || CASE WHEN 'S' || ln = lead THEN ' (Lead)' ELSE ''
+      END || ' perspective...', NULL, NULL FROM seats p JOIN sized USING (case_id)
+  UNION ALL SELECT p.case_id, 3 + m + place, 'specialist_done', 'specialist_s' || ln,
+    NULL, NULL, NULL, findings FROM done p JOIN sized USING (case_id)
+  UNION ALL SELECT case_id, 3 + m + d, 'consensus_done', 'orchestrator', NULL, NULL, NULL, NULL
+  FROM sized
+  UNION ALL SELECT case_id, 4 + m + d, 'discussion_summary', 'orchestrator', NULL,
+    'Summarizing reviews. Lead Specialist: ' || lead || '.', NULL, NULL FROM sized
+  UNION ALL SELECT case_id, 5 + m + d, 'judge_thinking', 'judge_agent', NULL,
+    'Medical Judge synthesizing reviews and resolving conflicts...', NULL, NULL FROM sized
+  UNION ALL SELECT case_id, 6 + m + d, 'judge_done', 'judge_agent', NULL, NULL, NULL, NULL
   FROM sized
-  UNION ALL SELECT case_id, 2, 'specialists_spawned', 'orchestrator', lead, NULL FROM sized
-  UNION ALL SELECT p.case_id, 3 + pos, 'specialist_thinking', 'specialist_' || lower(p.specialty),
-    NULL, 'Analyzing from ' || p.specialty || CASE WHEN p.specialty = lead THEN ' (Lead)' ELSE ''
-      END || ' perspective...' FROM panels p JOIN sized USING (case_id)
-  UNION ALL SELECT p.case_id, 3 + m + pos, 'specialist_done', 'specialist_' || lower(p.specialty),
-    NULL, NULL FROM panels p JOIN sized USING (case_id)
-  UNION ALL SELECT case_id, 3 + 2 * m, 'consensus_done', 'orchestrator', NULL, NULL FROM sized
-  UNION ALL SELECT case_id, 4 + 2 * m, 'discussion_summary', 'orchestrator', NULL,
-    'Summarizing reviews. Lead Specialist: ' || lead || '.' FROM sized
-  UNION ALL SELECT case_id, 5 + 2 * m, 'judge_thinking', 'judge_agent', NULL,
-    'Medical Judge synthesizing reviews and resolving conflicts...' FROM sized
-  UNION ALL SELECT case_id, 6 + 2 * m, 'judge_done', 'judge_agent', NULL, NULL FROM sized
-  UNION ALL SELECT case_id, 7 + 2 * m, 'safety_thinking', 'safety_agent', NULL,
-    'Final safety agent verifying Judge''s report against documents...' FROM sized
-  UNION ALL SELECT case_id, 8 + 2 * m, 'safety_done', 'safety_agent', NULL, NULL FROM sized
-  UNION ALL SELECT case_id, 9 + 2 * m, 'pipeline_complete', '', NULL, NULL FROM sized)"""
+  UNION ALL SELECT case_id, 7 + m + d, 'safety_thinking', 'safety_agent', NULL,
+    'Final safety agent verifying Judge''s report against documents...', NULL, NULL FROM sized
+  UNION ALL SELECT case_id, 8 + m + d, 'safety_done', 'safety_agent', NULL, NULL, NULL, NULL
+  FROM sized
+  UNION ALL SELECT case_id, 9 + m + d, 'pipeline_complete', '', NULL, NULL, NULL, NULL
+  FROM sized)"""
 
 _SIZES = """
 sizes AS (
@@ -406,7 +449,7 @@ _CONTESTED = """
 contested AS (
   SELECT case_id, attribute FROM {facts} GROUP BY ALL HAVING count(DISTINCT value) > 1)"""
 
-_FACT_PANELS = "WITH " + _PANELS.format(source="""(
+_FACT_PANELS = "WITH " + _NUMBERED.format(source="""(
       SELECT l_orderkey AS case_id, l_linenumber AS ln, l_suppkey AS sk, l_partkey AS pk,
              l_extendedprice AS ep, 'S' || l_linenumber AS specialty, l_returnflag AS attribute, l_linestatus AS value
       FROM lineitem)""") + """,
@@ -424,7 +467,7 @@ ORACLE: dict[str, str] = {
     "a1_read_cases": "WITH " + _CASES + """
 SELECT case_id, question, n_documents, md5(combined) AS documents_md5 FROM cases""",
 
-    "a3_read_responses": "WITH " + _PANELS.format(source="""(
+    "a3_read_responses": "WITH " + _NUMBERED.format(source="""(
       SELECT l_orderkey AS case_id, l_linenumber AS ln, l_suppkey AS sk, l_partkey AS pk,
              l_extendedprice AS ep, raw
       FROM rendered)""").replace("panels AS", "rendered AS (SELECT *, {raw} AS raw FROM (SELECT *, "
@@ -439,7 +482,8 @@ SELECT case_id, question, n_documents, md5(combined) AS documents_md5 FROM cases
            THEN 'Keep  ' || l_returnflag || l_linestatus || '.'
            ELSE 'keep ' || lower(l_returnflag || l_linestatus) END || '"',
         CASE WHEN kind = 8 THEN '"evidence_quotes": [null]'
-             ELSE '"evidence_quotes": ["part ' || l_partkey || '"]' END,
+             ELSE '"evidence_quotes": ["part '
+               || (l_partkey + CASE WHEN kind = 9 THEN 1 ELSE 0 END) || '"]' END,
         CASE WHEN kind = 1 THEN '"confidence": "high"'
              WHEN kind = 2 THEN '"confidence": ' || (conf + 1)
              WHEN kind = 4 THEN '"confidence": "' || conf || '"'
@@ -483,7 +527,7 @@ SELECT case_id, pos, specialty, reason, score, hits FROM ranked WHERE pos < 5"""
 
     "c3_support_one_pass": "WITH " + _SUPPORTED + " SELECT * FROM supported",
 
-    "c4_lead": "WITH " + _SUPPORTED + " SELECT case_id, pos, specialty, is_lead FROM led",
+    "c4_lead": "WITH " + _TEAMED + " SELECT case_id, pos, specialty, is_lead FROM led",
 
     "c5_fallback": "WITH " + _HITS.format(case="doc_id") + """,
 led AS (
@@ -496,8 +540,8 @@ UNION ALL
 SELECT doc_id, 0, 'Internal Medicine', true FROM documents
 WHERE doc_id NOT IN (SELECT case_id FROM led)""",
 
-    "c6_cap": "WITH " + _OPINIONS + "," + _PANELS.format(source="opin") + """
-SELECT case_id, pos, specialty FROM panels""",
+    "c6_cap": "WITH " + _OPINIONS + "," + _NUMBERED.format(source="opin") + """
+SELECT case_id, pos, specialty FROM panels WHERE pos < 10""",
 
     "c7_worklist": "WITH " + _WORK + """
 SELECT case_id, pos, specialty, is_lead, agent_name, role_label,
@@ -510,7 +554,7 @@ SELECT case_id, pos, agent_name,
   CASE WHEN specialty = 'Pharmacist' THEN 'ValueError: no reviewer for Pharmacist' END AS error
 FROM work""",
 
-    "d2_extractive": "WITH " + _SUPPORTED + "," + _EVIDENCE + """
+    "d2_extractive": "WITH " + _TEAMED + "," + _EVIDENCE + """
 SELECT case_id, pos, specialty,
   md5(coalesce(findings, 'No relevant information found')) AS findings_md5,
   coalesce('Follow up on ' || shown, '') AS recommendation,
@@ -603,14 +647,13 @@ SELECT case_id, attribute, value, count(*) AS stated, count(DISTINCT specialty)
 FROM facts JOIN contested USING (case_id, attribute) LEFT JOIN lead USING (case_id)
 GROUP BY case_id, attribute, value""",
 
-    "f5_divergence": "WITH " + _OPINIONS + "," + _PANELS.format(source="opin") + ","
+    "f5_divergence": "WITH " + _OPINIONS + "," + _NUMBERED.format(source="opin") + ","
     + _moments("panels") + "," + _OUTLYING + "," + _NOTES + " SELECT * FROM notes",
 
     "g1_quotes": "WITH " + _CLAIMS + """
-SELECT case_id, CAST(claim_no AS BIGINT) AS pos, specialist, CAST(0 AS BIGINT) AS quote_no,
-  coalesce(f <> '' AND contains(doc, f), false) AS grounded,
-  CASE WHEN f <> '' AND contains(doc, f) THEN CAST(0 AS BIGINT) END AS doc,
-  CASE WHEN f <> '' AND contains(doc, f) THEN CAST(strpos(doc, f) AS BIGINT) END AS at
+SELECT case_id, CAST(pos AS BIGINT) AS pos, specialist, CAST(quote_no AS BIGINT) AS quote_no,
+  place IS NOT NULL AS grounded, CASE WHEN place IS NOT NULL THEN CAST(0 AS BIGINT) END AS doc,
+  CAST(place AS BIGINT) AS at
 FROM placed""",
 
     "g2_corpus": """
@@ -692,6 +735,8 @@ FROM ranked, (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) AS f(q) WHERE r >= ceil(q *
 
     "h6_barrier": _BARRIER,
     "h6_barrier_streamed": _BARRIER,
+    "h6_barrier_large": _BARRIER.replace("k % 3 + 1", f"k % {LARGE_PANEL} + 1"),
+    "h6_barrier_large_streamed": _BARRIER.replace("k % 3 + 1", f"k % {LARGE_PANEL} + 1"),
 
     "h7_stalled": _stalled(),
     # The watermark trails the last event by the stream's hour of lateness.
@@ -706,8 +751,9 @@ SELECT CASE WHEN kind IN (0, 3, 6) THEN 'auth' WHEN kind IN (1, 4) THEN 'rate_li
   count(*) AS failures
 FROM e GROUP BY 1""",
 
-    "h1_trace": _ASSESSED + "," + _ROWS_OF_CASE.replace("FROM panels p", "FROM called p") + """
-SELECT case_id, CAST(seq AS BIGINT) AS seq, type, agent_name, lead, message FROM steps""",
+    "h1_trace": _ASSESSED + "," + _ROWS_OF_CASE + """
+SELECT case_id, CAST(seq AS BIGINT) AS seq, type, agent_name, lead, message, count, findings
+FROM steps""",
 
     "i1_assemble": _ASSESSED + """
 SELECT o_orderkey AS case_id, lead AS lead_specialist, specialties,
@@ -726,7 +772,7 @@ LEFT JOIN notes ON notes.case_id = o_orderkey
 LEFT JOIN listed ON listed.case_id = o_orderkey
 LEFT JOIN safety ON safety.case_id = o_orderkey""",
 
-    "i1_assess_documents": "WITH " + _SUPPORTED.replace("pos < 2", "pos < 5") + ","
+    "i1_assess_documents": "WITH " + _TEAMED + ","
     + _EVIDENCE + "," + _CASES + "," + _SIZES + """,
 valid AS (SELECT case_id FROM sizes WHERE """ + _PROBLEMS + """ = ''),
 swarm AS (
@@ -749,6 +795,12 @@ SELECT case_id, lead_specialist, panel, round_even(score, 3) AS agreement_score,
   CASE WHEN verified IS NOT NULL THEN true END AS is_safe
 FROM per_case JOIN agreed USING (case_id)""",
 
+    "i1_failures": "WITH " + _TEAMED + "," + _CASES + "," + _SIZES + """
+SELECT case_id, pos, 'specialist_pharmacist' AS agent_name, 'error' AS status,
+  'ValueError: no reviewer for Pharmacist' AS error, 'other' AS class
+FROM led JOIN (SELECT case_id FROM sizes WHERE """ + _PROBLEMS + """ = '') USING (case_id)
+WHERE specialty = 'Pharmacist'""",
+
     "i2_callback": "WITH " + _EVENTS + " SELECT type, CAST(count(*) AS BIGINT) AS n FROM ev "
     "GROUP BY type",
 

@@ -31,6 +31,8 @@ from quorate.streaming.sources import on_batch, stream_events
 Query = Callable[[SparkSession, str], DataFrame]
 
 STALL_SECONDS = 86_400
+# Specialists a spawn announces at most in the queries on large panels.
+LARGE_PANEL = 15
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def a1_read_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a3_read_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "responses")
-    rows = ag.cap_panel(b.answers(spark, sf_dir))
+    rows = ag.numbered(b.answers(spark, sf_dir))
     rows.withColumn("agent_name", F.concat(F.lit("specialist_"), "pos")).write.json(path)
     return src.read_responses(spark, path)
 
@@ -166,16 +168,12 @@ def c3_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.require_support_roles(tr.select_team(hits, 2), hits)
 
 
-def _supported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.choose_team(_hits(spark, sf_dir), 2)
-
-
 def c3_support_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _supported(spark, sf_dir)
+    return tr.choose_team(_hits(spark, sf_dir), 2)
 
 
 def _led(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.designate_lead(_supported(spark, sf_dir), role_map(spark))
+    return tr.designate_lead(tr.choose_team(_hits(spark, sf_dir)), role_map(spark))
 
 
 def c4_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,20 +281,21 @@ def e5_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- F: consolidation ----------------------------------------------------------
 
-def _answered_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ag.cap_panel(ct.answered_opinions(b.answers(spark, sf_dir)))
+def _answered(seated: DataFrame) -> DataFrame:
+    """Every usable answer of the seats that were asked."""
+    return ct.answered_opinions(seated.select("case_id", "pos", "raw"))
 
 
 def f1_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = co.key_findings_by_specialty(_answered_panel(spark, sf_dir))
+    found = co.key_findings_by_specialty(_answered(b.seats(spark, sf_dir)))
     return found.select(
         "case_id", F.explode("key_findings_by_specialty").alias("specialty", "findings")
     ).withColumn("findings", F.array_join("findings", "|"))
 
 
 def f2_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = _answered_panel(spark, sf_dir)
-    return co.consolidate_recommendations(panel, b.panel_team(panel)).withColumn(
+    seated = b.seats(spark, sf_dir)
+    return co.consolidate_recommendations(_answered(seated), b.asked_team(seated)).withColumn(
         "supporters", F.array_join("supporters", ","))
 
 
@@ -313,19 +312,19 @@ def f4_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f4_conflicting_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = b.panel_facts(spark, sf_dir, capped=False)
+    facts = b.panel_facts(spark, sf_dir)
     return co.conflicting_values(facts, b.panel_leads(b.panels(spark, sf_dir)))
 
 
 def f5_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = b.panels(spark, sf_dir)
+    panel = b.opinions(spark, sf_dir)
     return co.divergence_notes(ag.panel_agreement(panel), ag.flag_outliers(panel))
 
 
 # --- G: grounding --------------------------------------------------------------
 
 def g1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = gr.quotes_as_claims(b.first_line_quotes(spark, sf_dir))
+    claims = gr.quotes_as_claims(b.line_quotes(spark, sf_dir))
     return gr.ground_quotes(claims, b.single_cases(spark, sf_dir)).drop("claim")
 
 
@@ -351,7 +350,7 @@ def g3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.classify_verdicts(b.first_line_claims(spark, sf_dir), b.single_cases(spark, sf_dir))
+    return gr.classify_verdicts(b.line_claims(spark, sf_dir), b.single_cases(spark, sf_dir))
 
 
 def g4_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,9 +374,10 @@ def g5_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _panel_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assessments of order panels: triage, answers, agreement, consolidation."""
-    panel = stored(_answered_panel(spark, sf_dir), "panels")
+    seated = stored(b.seats(spark, sf_dir), "seats")
+    panel = stored(_answered(seated), "panels")
     cases = b.order_cases(spark, sf_dir)
-    team = b.panel_team(panel)
+    team = b.asked_team(seated)
     agreement = ag.panel_agreement(panel)
     judge = asm.nest_judge(
         co.key_findings_by_specialty(panel), co.consolidate_recommendations(panel, team),
@@ -389,9 +389,10 @@ def _panel_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = b.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"),
         F.concat(F.lit("part "), "l_partkey").alias("text"))
-    first = parts.groupBy("case_id").agg(F.min(F.struct("n", "text")).alias("first")).select(
-        "case_id", F.array("first.text").alias("documents"))
-    safety = asm.nest_safety(gr.safety_report(gr.classify_verdicts(claims, first)))
+    documents = parts.groupBy("case_id").agg(
+        F.sort_array(F.collect_list(F.struct("n", "text"))).alias("parts")
+    ).select("case_id", F.col("parts.text").alias("documents"))
+    safety = asm.nest_safety(gr.safety_report(gr.classify_verdicts(claims, documents)))
     return asm.assemble_assessment(
         cases, asm.nest_triage(team), asm.nest_swarm(team), asm.nest_opinions(panel),
         asm.nest_consensus(panel, cases), judge, safety)
@@ -402,6 +403,8 @@ def h1_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case_id", "seq", "type", "agent_name",
         F.get_json_object("data", "$.lead_specialist").alias("lead"),
         F.get_json_object("data", "$.message").alias("message"),
+        F.get_json_object("data", "$.count").alias("count"),
+        F.get_json_object("data", "$.findings").alias("findings"),
     )
 
 
@@ -453,6 +456,16 @@ def h6_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.barrier_agreement(b.events(spark, sf_dir))
 
 
+def h6_barrier_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.barrier_agreement(b.events(spark, sf_dir, LARGE_PANEL))
+
+
+def h6_barrier_large_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = b.events(spark, sf_dir, LARGE_PANEL)
+    return _drained(spark, log, lambda path: folds.stream_panel_agreement(
+        stream_events(spark, path, "parquet")[0]))
+
+
 def h6_barrier_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, b.events(spark, sf_dir), lambda path: folds.stream_panel_agreement(
         stream_events(spark, path, "parquet")[0]))
@@ -511,6 +524,12 @@ def i1_assess_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def i1_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reviewer that knows no pharmacists could not answer."""
+    done = assess(b.document_cases(spark, sf_dir), role_map(spark), count_reviewer)
+    return done.failures.select("case_id", "pos", "agent_name", "status", "error", "class")
+
+
 def i2_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A callback that keeps the per-type counts of every micro-batch."""
     out, checkpoint = scratch_path(spark, "callback"), scratch_path(spark, "checkpoint")
@@ -538,9 +557,10 @@ QUERIES: dict[str, Query] = {
         f5_divergence,
         g1_quotes, g2_corpus, g3_values, g4_verdicts, g5_report, g5_summary,
         h1_trace, h2_stages, h2_cases, h2_stages_streamed, h3_drafts, h3_drafts_streamed,
-        h4_orphans, h5_latency, h6_barrier, h6_barrier_streamed, h7_stalled,
+        h4_orphans, h5_latency, h6_barrier, h6_barrier_streamed, h6_barrier_large,
+        h6_barrier_large_streamed, h7_stalled,
         h7_stalled_streamed, h8_failures,
-        i1_assemble, i1_assess_documents, i2_callback,
+        i1_assemble, i1_assess_documents, i1_failures, i2_callback,
     )
 }
 

@@ -76,25 +76,21 @@ _BARRIER_OUT = (
 
 
 def _thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per input batch and case: the first spawn and the first ten answers.
+    """Per input batch and case: the first spawn, and all answers.
 
-    Later ones can never belong to a panel, so a hot case sends a few rows per
-    batch instead of all of them.
+    How many answers a panel takes is known to the case's state only.
     """
     for rows in batches:
         rows = rows.sort_values("seq", kind="stable")
         spawn = rows["expected"].notna()
-        yield pd.concat([
-            rows[spawn].groupby("case_id").head(1),
-            rows[~spawn].groupby("case_id").head(fixed.MAX_SPECIALISTS),
-        ])
+        yield pd.concat([rows[spawn].groupby("case_id").head(1), rows[~spawn]])
 
 
 class PanelBarrier(StatefulProcessor):
     """Emits a case's panel moments once, when its first spawn is complete.
 
-    State per case: the first spawn, at most ten answers, a flag. Answers that
-    come before their spawn wait in the state.
+    State per case: the first spawn, the answers it may need, a flag. Answers that
+    come before their spawn wait in the state, then as many as it announced.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -116,7 +112,8 @@ class PanelBarrier(StatefulProcessor):
                         spawn = (int(row.seq), int(row.expected))
                 else:
                     answers[int(row.seq)] = float(row.confidence)
-            answers = dict(sorted(answers.items())[:fixed.MAX_SPECIALISTS])
+        if spawn is not None:
+            answers = dict(sorted(answers.items())[:spawn[1]])
         if spawn is not None and len(answers) >= spawn[1] > 0:
             panel = [answers[seq] for seq in sorted(answers)][:spawn[1]]
             self._closed.update((True,))

@@ -163,6 +163,22 @@ def test_barrier_waits_for_the_announced_count(spark):
     assert [(r.case_id, r.expected, r.mean_confidence) for r in rows] == [(1, 2, 0.875)]
 
 
+def test_barrier_of_a_panel_larger_than_ten(spark):
+    done = [("specialist_done", f"a{i}", {"confidence": 0.5}) for i in range(13)]
+    rows = ev.barrier_agreement(
+        log(spark, spawn("A", count=12), *done, case_id=1)).collect()
+    assert [(r.expected, r.participating) for r in rows] == [(12, 12)]
+
+
+def test_events_without_an_agent_are_waited_for_like_others(spark):
+    events = log(spark, ("judge_thinking", None, {}), ("judge_thinking", "judge_agent", {}),
+                 ("error", "", {}), case_id=1)
+    later = events.withColumn("ts", F.expr("ts + make_interval(0, 0, 0, 0, 1)")).withColumn(
+        "seq", F.col("seq") + 1000).where("type = 'error'")
+    stalled = ev.stalled_agents(events.unionByName(later), 60).collect()
+    assert {r.agent_name for r in stalled} == {None, "judge_agent"}
+
+
 # --- streams: what comes out equals the batch, also after a restart -------------
 
 def random_log(spark, cases=6, per_case=40):

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -180,9 +182,34 @@ def test_retries_are_bounded_and_can_succeed(spark):
         return [str(flaky_state["calls"])] * len(batch)
 
     flaky_state: dict[str, int] = {}
-    assert rv._answers(pd.DataFrame({"a": [1]}), flaky, 4) == (["3"], None)
+    assert rv._answers(pd.DataFrame({"a": [1]}), flaky, 3, None) == ["3"]
     flaky_state.clear()
-    assert rv._answers(pd.DataFrame({"a": [1]}), flaky, 2) == ([None], "TimeoutError: timeout")
+    lost = rv._answers(pd.DataFrame({"a": [1]}), flaky, 1, None)
+    assert [str(e) for e in lost] == ["timeout"] and flaky_state["calls"] == 2
+
+
+def test_only_failed_rows_are_asked_again():
+    calls = []
+
+    def picky(batch: pd.DataFrame) -> list:
+        calls.append(list(batch["a"]))
+        return [ValueError("seven") if a == 7 else str(a) for a in batch["a"]]
+
+    got = rv._answers(pd.DataFrame({"a": range(20)}), picky, 3, None)
+    assert [str(g) for g in got] == [*map(str, range(7)), "seven", *map(str, range(8, 20))]
+    assert calls == [list(range(20)), [7], [7], [7]]
+
+
+def test_calls_are_bounded_in_rows_characters_and_time():
+    batch = pd.DataFrame({"input": ["x" * n for n in (5, 5, 50, 1, 1, 1, 1)]})
+    assert [len(b) for b in rv._cut(batch, 3, 12)] == [2, 1, 3, 1]
+    assert list(rv._cut(batch.iloc[:0], 3, 12)) == []
+
+    def slow(batch: pd.DataFrame) -> list[str]:
+        time.sleep(0.5)
+        return ["late"] * len(batch)
+
+    assert isinstance(rv._answers(batch.iloc[:1], slow, 0, 0.05)[0], TimeoutError)
 
 
 def test_extractive_review(spark):
