@@ -150,3 +150,55 @@ def test_readers_use_declared_schemas(spark, tmp_path):
         F.col("id").alias("case_id"), F.lit(0).alias("pos"), F.lit("a").alias("agent_name"),
         F.lit("[not json").alias("raw")).write.json(responses)
     assert [r.raw for r in src.read_responses(spark, responses).collect()] == ["[not json"] * 2
+
+
+def test_scripted_stages_end_to_end(spark):
+    triage_answer = json.dumps({
+        "specialties": [{"name": "Endocrinologist", "reason": "sugar"},
+                        {"name": "Nephrologist", "reason": "kidney"}],
+        "rationale": "both organs"})
+    opinions = {o["specialty"]: json.dumps(o) for o in (ENDO, NEPHRO)}
+    judge_answer = json.dumps({"final_summary": "Both agree.",
+                               "consolidated_recommendations": ["Step the insulin up."]})
+    safety_answer = json.dumps({
+        "verified_findings": ["last HbA1c was 8.7%"], "flagged_issues": [
+            {"specialist": "Endocrinologist", "claim": "Eyes are affected", "issue": "not found"}],
+        "final_summary": "One claim is not covered.", "overall_confidence": 0.6, "is_safe": False})
+
+    def one(answer, *needed):
+        def fn(batch):
+            # What a stage has to be told, or it refuses.
+            return [answer if all(n in text for n in needed) else "missing input"
+                    for text in batch["input"]]
+        return fn
+
+    done = assess(
+        cases(spark).where("case_id = 1"), src.default_indicator_map(spark), scripted(opinions),
+        triager=one(triage_answer, "## Question", "Which doses", "AKI since Monday"),
+        judge=one(judge_answer, "Filtration fell", "## Lead Specialist\nEndocrinologist",
+                  "agreement_score", "AKI since Monday"),
+        safety=one(safety_answer, "Both agree.", "AKI since Monday"))
+    assert done.failures.count() == 0
+    row = done.assessments.first()
+    # The answer names no lead: the first specialty leads.
+    assert row.lead_specialist == row.supervisor.lead_specialist == "Endocrinologist"
+    assert row.supervisor.rationale == "both organs"
+    assert (row.consensus.mean_confidence, row.consensus.level) == (0.875, "strong")
+    assert row.judge_report.final_summary == "Both agree."
+    assert row.judge_report.key_findings_by_specialty is None
+    assert row.safety_report.is_safe is False and row.safety_report.overall_confidence == 0.6
+    assert row.safety_report.flagged_issues[0].claim == "Eyes are affected"
+
+
+def test_failing_stages_leave_their_part_empty(spark):
+    def broken(batch):
+        raise ConnectionError("Connection error.")
+
+    done = assess(cases(spark).where("case_id = 1"), src.default_indicator_map(spark),
+                  triager=broken, judge=lambda batch: ["no report"] * len(batch), safety=broken)
+    row = done.assessments.first()
+    assert (row.supervisor, row.judge_report, row.safety_report) == (None, None, None)
+    assert row.asked == ["Internal Medicine"]
+    assert {(r.agent_name, r.status, r["class"]) for r in done.failures.collect()} == {
+        ("supervisor_agent", "error", "connectivity"), ("judge_agent", "unparsed", "other"),
+        ("safety_agent", "error", "connectivity")}
