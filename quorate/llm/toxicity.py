@@ -138,12 +138,13 @@ def selected(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
         seen.add(key)
         counts[label, ids] += 1
         totals[label] += 1
-    odds = np.log((counts[1] + 0.5) / (totals[1] + 1)) - np.log((counts[0] + 0.5) / (totals[0] + 1))
+    # Two clean documents more than seen, so that rare words have to prove themselves.
+    odds = np.log((counts[1] + 0.5) / (totals[1] + 1)) - np.log((counts[0] + 2) / (totals[0] + 2))
     return np.flatnonzero((counts[1] >= MIN_TOXIC) & (odds >= MIN_ODDS))
 
 
 def fit(sets: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]],
-        share: float, penalty: float = 1.0, ridge: float = 3e-5, rounds: int = 400) -> ToxicityModel:
+        share: float, penalty: float = 1.0, ridge: float = 3e-6, rounds: int = 2_000) -> ToxicityModel:
     """A logistic model on the selected features, in plain numpy.
 
     Adds ``penalty`` times the mean squared change of the score over the swaps. The
