@@ -1,6 +1,6 @@
 """Times the headline queries and prints one JSON line.
 
-Every query runs twice into a sink that drops the rows; the second run counts,
+Every query runs three times into a sink that drops the rows; the median counts,
 so neither JVM start nor code generation is measured.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import time
 
 from quorate.plans.queries import registered
@@ -17,7 +18,8 @@ HEADLINE = (
     "b1_validate", "c1_hits", "c2_team", "d2_extractive", "d3_opinions",
     "e1_agreement", "e2_level_counts", "e3_by_specialty", "e4_outliers", "e5_breakdown",
     "f3_overlaps", "f4_conflicts", "g1_quotes", "g2_corpus", "g4_verdicts",
-    "h2_stages", "h4_orphans", "h5_latency", "h6_barrier",
+    "g5_report", "h1_trace", "h2_stages", "h4_orphans", "h5_latency", "h6_barrier",
+    "i1_assemble", "i1_assess_documents",
 )
 
 
@@ -28,12 +30,14 @@ def main() -> None:
     queries = registered()
     seconds: dict[str, float] = {}
     for name in HEADLINE:
-        for _ in range(2):
+        runs = []
+        for _ in range(3):
             start = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            seconds[name] = round(time.perf_counter() - start, 3)
+            runs.append(time.perf_counter() - start)
+        seconds[name] = round(statistics.median(runs), 3)
     print(json.dumps({
-        "metric": "headline queries, warm, summed",
+        "metric": "headline queries, median of three, summed",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
