@@ -74,18 +74,73 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _common_runs(a: Sequence[int], b: Sequence[int], chars: Sequence[int],
+                 least: int) -> set[int]:
+    """Lines of ``b`` in runs that stand anywhere in ``a``, by a suffix automaton of ``a``.
+
+    Alignment pairs a line once and in order; this finds what it leaves.
+    """
+    follow: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for line in a:
+        new, p = len(follow), last
+        follow.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        while p >= 0 and line not in follow[p]:
+            follow[p][line] = new
+            p = link[p]
+        if p >= 0:
+            q = follow[p][line]
+            if length[q] != length[p] + 1:
+                follow.append(dict(follow[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                clone = len(follow) - 1
+                while p >= 0 and follow[p].get(line) == q:
+                    follow[p][line] = clone
+                    p = link[p]
+                link[q] = q = clone
+            link[new] = q
+        last = new
+    upto = [0]
+    for size in chars:
+        upto.append(upto[-1] + size)
+    found: set[int] = set()
+    state = run = done = 0
+    for j, line in enumerate(b):
+        while state > 0 and line not in follow[state]:
+            state = link[state]
+            run = length[state]
+        if line in follow[state]:
+            state, run = follow[state][line], run + 1
+        start = j + 1 - run
+        if run and upto[j + 1] - upto[start] >= least:
+            found.update(range(max(start, done), j + 1))
+            done = j + 1
+    return found
+
+
 def repeated_lines(a: Sequence[int], b: Sequence[int], chars: Sequence[int],
                    least: int = BLOCK_CHARS) -> list[int]:
-    """Lines of ``b`` in common blocks with ``a`` of at least so many characters."""
+    """Lines of ``b`` in common blocks with ``a`` of at least so many characters.
+
+    Blocks are those of the alignment, and what it leaves: further copies of a block
+    and blocks in another order.
+    """
     blocks: list[list[tuple[int, int]]] = []
     for i, j in patience(a, b):
         if blocks and blocks[-1][-1] == (i - 1, j - 1):
             blocks[-1].append((i, j))
         else:
             blocks.append([(i, j)])
-    return [
+    found = {
         j for block in blocks if sum(chars[j] for _, j in block) >= least for _, j in block
-    ]
+    }
+    known = set(a)
+    if any(j not in found and line in known for j, line in enumerate(b)):
+        found |= _common_runs(a, b, chars, least)
+    return sorted(found)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:

@@ -174,3 +174,18 @@ def test_line_dedup_against_brute_force(spark):
     assert cut.columns[-1] == "removed" and cut.count() == len(texts)
     assert cut.where("doc_id = 80").first().text is None
     assert ld.line_dedup(documents(spark, [])).count() == 0
+
+
+def test_repeated_lines_against_all_runs():
+    draw = random.Random(8)
+    for _ in range(400):
+        size = [draw.choice((0, 3, 9, 12, 25)) for _ in range(6)]
+        a, b = ([draw.randrange(6) for _ in range(draw.randrange(12))] for _ in range(2))
+        chars = [size[line] for line in b]
+        want = {
+            j for s in range(len(b)) for e in range(s + 1, len(b) + 1) for j in range(s, e)
+            if sum(chars[s:e]) >= 20
+            and any(a[i : i + e - s] == b[s:e] for i in range(len(a)))
+        }
+        assert ld.repeated_lines(a, b, chars) == sorted(want)
+    assert ld.repeated_lines([1, 2, 3], [9, 2, 8, 2, 7, 1], [25] * 6) == [1, 3, 5]
