@@ -144,18 +144,21 @@ def repeated_lines(a: Sequence[int], b: Sequence[int], chars: Sequence[int],
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Documents with a number per row that tells repeated rows apart."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+    """Documents with a number per row that tells repeated rows apart.
+
+    Stored, as a second scan could number the rows in another way.
+    """
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines of each document, and those to delete.
+    """The lines of each numbered document, and those to delete.
 
     Gives (doc_id, _row, _lines, _chars) and (_row, removed, partners).
     """
     lines = F.transform(F.split(whole_text(), "\n"), lambda line: F.trim(line))
     rows = stored(
-        _numbered(docs.select("doc_id", "text")).select(
+        docs.select(
             "doc_id", "_row",
             F.transform(lines, lambda line: F.xxhash64(line)).alias("_lines"),
             F.transform(lines, lambda line: F.length(line)).alias("_chars"),
@@ -232,8 +235,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_lines, removed (places, from 0), partners (ids of the documents
     they were taken from), kept_chars and kept_sha256 of the text that is left.
     """
-    _, removed = repeats(docs)
-    texts = _numbered(docs.select("doc_id", whole_text().alias("_text")))
+    numbered = _numbered(docs.select("doc_id", "text"))
+    _, removed = repeats(numbered)
+    texts = numbered.select("doc_id", "_row", whole_text().alias("_text"))
     none = F.array().cast("array<int>")
     return (
         texts.join(broadcast_if_small(removed), "_row", "left")
@@ -253,8 +257,9 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
     A text that loses nothing, null included, stays as it is.
     """
-    _, removed = repeats(docs)
-    cut = _numbered(with_row(docs, "text")).join(
+    numbered = _numbered(with_row(docs, "doc_id", "text"))
+    _, removed = repeats(numbered)
+    cut = numbered.join(
         broadcast_if_small(removed.select("_row", "removed")), "_row", "left"
     )
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(_kept("text", "removed"))

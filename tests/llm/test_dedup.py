@@ -189,3 +189,19 @@ def test_repeated_lines_against_all_runs():
         }
         assert ld.repeated_lines(a, b, chars) == sorted(want)
     assert ld.repeated_lines([1, 2, 3], [9, 2, 8, 2, 7, 1], [25] * 6) == [1, 3, 5]
+
+
+def test_lines_are_cut_from_their_own_document_when_scans_differ(spark):
+    shared = prose(1, 8)
+    texts = [f"{shared}\n{prose(10 + k, 8)}" if k % 2 else prose(10 + k, 8) for k in range(60)]
+
+    def shuffled(frames):
+        for frame in frames:
+            yield frame.sample(frac=1, random_state=random.SystemRandom().randrange(1 << 30))
+
+    docs = documents(spark, texts)
+    docs = docs.coalesce(1).mapInPandas(shuffled, docs.schema)
+    got = {r.doc_id: r.removed for r in ld.line_dedup(docs).collect()}
+    assert got == {k: [0] if k % 2 and k > 1 else [] for k in range(60)}
+    cut = {r.doc_id: r.text for r in ld.without_repeated_lines(docs).collect()}
+    assert cut == {k: texts[k].split("\n")[-1] if k > 1 else texts[k] for k in range(60)}
