@@ -13,6 +13,7 @@ from quorate.llm.exact_dedup import exact_dedup
 from quorate.llm.labelled import fold
 from quorate.llm.line_dedup import line_dedup
 from quorate.llm.mixing import mixed
+from quorate.llm.periodic import periodic_runs, run_digest, with_planted_runs
 from quorate.llm.quality import quality
 from quorate.llm.simhash import near_duplicates
 from quorate.llm.token_files import read_token_files, write_token_files
@@ -89,6 +90,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(table(spark, sf_dir, "documents"))
+    return run_digest(periodic_runs(docs))
+
+
 def registered() -> dict[str, Query]:
     """The ``opN_`` functions of this module by name."""
     return {
