@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quorate.llm.chat import chat_digests, format_chats
 from quorate.llm.common import table
 from quorate.llm.decontaminate import benchmark_overlaps
 from quorate.llm.exact_dedup import exact_dedup
+from quorate.llm.hard_negatives import hard_negatives, integer_vectors
 from quorate.llm.labelled import fold
 from quorate.llm.line_dedup import line_dedup
 from quorate.llm.mixing import mixed
@@ -95,6 +97,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(docs))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10)
+        .otherwise(F.col("label")),
+    )
+    return hard_negatives(integer_vectors(rows), F.col("vec_id") % 100 == 0)
+
+
 def registered() -> dict[str, Query]:
     """The ``opN_`` functions of this module by name."""
     return {
