@@ -116,4 +116,29 @@ ORACLE: dict[str, str] = {
                sum(chars)::BIGINT AS formatted_chars
         FROM sized GROUP BY conv_id
     """,
+    "op13_hard_negatives": """
+        WITH usable AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id AS other_id,
+                   list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score
+            FROM scored WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+               row_number() OVER (PARTITION BY anchor_id, positive_id
+                                  ORDER BY score DESC, other_id)::INTEGER AS rank,
+               other_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT alike AND 30 * positive_score <= 100 * score
+          AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
 }

@@ -12,6 +12,7 @@ from quorate.llm.common import table
 from quorate.llm.decontaminate import benchmark_overlaps
 from quorate.llm.exact_dedup import exact_dedup
 from quorate.llm.hard_negatives import hard_negatives, integer_vectors
+from quorate.llm.html_text import main_texts
 from quorate.llm.labelled import fold
 from quorate.llm.line_dedup import line_dedup
 from quorate.llm.mixing import mixed
@@ -97,6 +98,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(docs))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").withColumn(
         "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10)
