@@ -20,22 +20,25 @@ from quorate.functions.confidence import SMALL_PANEL, clamp, micro, wide
 _MILLION = 1_000_000
 
 
-def panel_moments(opinions: DataFrame) -> DataFrame:
-    """Per case: counts and the exact first and second moment of participants."""
-    voted = opinions.select("case_id", clamp(F.col("confidence")).alias("c")).select(
-        "case_id",
-        (F.col("c") > 0).alias("votes"),
-        F.when(F.col("c") > 0, micro(F.col("c"))).alias("u"),
-    )
-    square = F.col("u") * F.col("u")
-    return voted.groupBy("case_id").agg(
-        F.count_if("votes").alias("participating"),
-        F.count_if(~F.col("votes")).alias("abstained"),
-        F.coalesce(F.sum("u"), F.lit(0)).alias("s1"),
+def moments_of(confidence: Column) -> list[Column]:
+    """Aggregates of clamped confidences: counts and exact moments of participants."""
+    votes = confidence > 0
+    u = F.when(votes, micro(confidence))
+    square = u * u
+    return [
+        F.count_if(votes).alias("participating"),
+        F.count_if(~votes).alias("abstained"),
+        F.coalesce(F.sum(u), F.lit(0)).alias("s1"),
         # The square sum is kept in two halves so it cannot overflow a BIGINT.
         F.coalesce(F.sum(F.floor(square / _MILLION)), F.lit(0)).alias("s2_high"),
         F.coalesce(F.sum(square % _MILLION), F.lit(0)).alias("s2_low"),
-    )
+    ]
+
+
+def panel_moments(opinions: DataFrame) -> DataFrame:
+    """Per case: counts and the exact first and second moment of participants."""
+    voted = opinions.select("case_id", clamp(F.col("confidence")).alias("c"))
+    return voted.groupBy("case_id").agg(*moments_of(F.col("c")))
 
 
 def _scaled_variance(big: bool) -> Column:
@@ -91,13 +94,15 @@ def panel_agreement(opinions: DataFrame, cases: DataFrame | None = None) -> Data
     if cases is not None:
         moments = cases.select("case_id").join(moments, "case_id", "left").na.fill(0)
     scored = agreement_level(score_moments(moments))
-    return scored.select(
-        "case_id", "participating", "abstained",
+    return scored.select("case_id", "participating", "abstained", *score_columns(), "level")
+
+
+def score_columns() -> list[Column]:
+    return [
         F.bround("mean", 3).alias("mean_confidence"),
         F.bround("spread", 3).alias("confidence_spread"),
         F.bround("score", 3).alias("agreement_score"),
-        "level",
-    )
+    ]
 
 
 def _named() -> Column:
@@ -115,6 +120,17 @@ def confidence_by_specialty(opinions: DataFrame) -> DataFrame:
     )
 
 
+def stands_apart(confidence: Column) -> Column:
+    """Whether a clamped confidence is an outlier of the moments beside it."""
+    n, s1 = F.col("participating"), F.col("s1")
+    apart = n * micro(confidence) - s1
+    gap = int(fixed.SMALLEST_OUTLIER_GAP * _MILLION)
+    beyond_spread = F.when(
+        n <= SMALL_PANEL, apart * apart > _scaled_variance(big=False)
+    ).otherwise(wide(apart) * wide(apart) > _scaled_variance(big=True))
+    return (confidence > 0) & (F.abs(apart) > n * gap) & beyond_spread
+
+
 def mark_outliers(opinions: DataFrame) -> DataFrame:
     """Every opinion with ``is_outlier``.
 
@@ -123,21 +139,12 @@ def mark_outliers(opinions: DataFrame) -> DataFrame:
     a grouped aggregate that is joined back, so a hot case is split by the
     skew join instead of sitting in one window partition.
     """
-    n, s1 = F.col("participating"), F.col("s1")
     rows = opinions.withColumn("specialty", _named()).withColumn(
         "confidence", clamp(F.col("confidence"))
     )
-    apart = n * micro(F.col("confidence")) - s1
-    gap = int(fixed.SMALLEST_OUTLIER_GAP * _MILLION)
-    beyond_spread = F.when(
-        n <= SMALL_PANEL, apart * apart > _scaled_variance(big=False)
-    ).otherwise(wide(apart) * wide(apart) > _scaled_variance(big=True))
     return (
         rows.join(panel_moments(opinions), "case_id")
-        .withColumn(
-            "is_outlier",
-            (F.col("confidence") > 0) & (F.abs(apart) > n * gap) & beyond_spread,
-        )
+        .withColumn("is_outlier", stands_apart(F.col("confidence")))
         .drop("participating", "abstained", "s1", "s2_high", "s2_low")
     )
 

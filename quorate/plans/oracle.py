@@ -366,6 +366,7 @@ called AS (SELECT * REPLACE (coalesce(specialty, 'Unknown') AS specialty) FROM p
     + _moments("called") + "," + _OUTLYING + "," + _NOTES + """,
 nested AS (
   SELECT case_id, string_agg('S' || ln, ',' ORDER BY pos) AS specialties,
+         string_agg('S' || ln || ': listed at ' || pos, '; ' ORDER BY pos) AS rationale,
          string_agg(CASE WHEN status <> 'failed' THEN coalesce(findings, '-') END, '|'
                     ORDER BY pos) AS findings,
          max(CASE WHEN pos = 0 THEN 'S' || ln END) AS lead
@@ -756,13 +757,14 @@ SELECT case_id, CAST(seq AS BIGINT) AS seq, type, agent_name, lead, message, cou
 FROM steps""",
 
     "i1_assemble": _ASSESSED + """
-SELECT o_orderkey AS case_id, lead AS lead_specialist, specialties,
+SELECT o_orderkey AS case_id, lead AS lead_specialist, specialties, rationale,
   coalesce(findings, '') AS findings,
   round_even(coalesce(score, 0), 3) AS agreement_score, coalesce(agreed.level, 'none') AS level,
   coalesce(CAST(n AS BIGINT), 0) AS participating, coalesce(CAST(a AS BIGINT), 0) AS abstained,
   coalesce(per_specialty, '') AS per_specialty, coalesce(short, '') AS outliers,
-  CASE WHEN nested.case_id IS NOT NULL THEN coalesce(note, '') END AS note,
-  recommendations, verified, flagged, is_safe
+  CASE WHEN agreed.case_id IS NULL THEN 'Panel agreement is none (0.000); nobody stands apart.'
+       ELSE coalesce(note, '') END AS note,
+  coalesce(recommendations, '') AS recommendations, verified, flagged, is_safe
 FROM orders
 LEFT JOIN nested ON nested.case_id = o_orderkey
 LEFT JOIN agreed ON agreed.case_id = o_orderkey

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorate.operators import agreement as ag
-from quorate.operators import assemble as asm
 from quorate.operators import consolidate as co
 from quorate.operators import contracts as ct
 from quorate.operators import events as ev
@@ -22,7 +21,7 @@ from quorate.operators import prepare as pr
 from quorate.operators import review as rv
 from quorate.operators import triage as tr
 from quorate.plans import bindings as b
-from quorate.plans.assess import assess
+from quorate.plans.assess import assess, concluded
 from quorate.session import configure, scratch_path, stored
 from quorate.sources import tables as src
 from quorate.streaming import folds
@@ -376,26 +375,15 @@ def _panel_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assessments of order panels: triage, answers, agreement, consolidation."""
     seated = stored(b.seats(spark, sf_dir), "seats")
     panel = stored(_answered(seated), "panels")
-    cases = b.order_cases(spark, sf_dir)
-    team = b.asked_team(seated)
-    agreement = ag.panel_agreement(panel)
-    judge = asm.nest_judge(
-        co.key_findings_by_specialty(panel), co.consolidate_recommendations(panel, team),
-        co.divergence_notes(agreement, ag.flag_outliers(panel)),
-    )
-    quoted = co.participants(panel).where(F.col("evidence_quotes").isNotNull())
-    claims = gr.quotes_as_claims(quoted).where(F.col("claim").isNotNull()).select(
-        "case_id", F.struct("pos", "quote_no").alias("claim_no"), "specialist", "claim")
     parts = b.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"),
         F.concat(F.lit("part "), "l_partkey").alias("text"))
     documents = parts.groupBy("case_id").agg(
         F.sort_array(F.collect_list(F.struct("n", "text"))).alias("parts")
     ).select("case_id", F.col("parts.text").alias("documents"))
-    safety = asm.nest_safety(gr.safety_report(gr.classify_verdicts(claims, documents)))
-    return asm.assemble_assessment(
-        cases, asm.nest_triage(team), asm.nest_swarm(team), asm.nest_opinions(panel),
-        asm.nest_consensus(panel, cases), judge, safety)
+    cases = b.order_cases(spark, sf_dir).join(documents, "case_id", "left")
+    team = b.asked_team(seated)
+    return concluded(stored(cases, "cases"), team, team, panel)
 
 
 def h1_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,7 +484,7 @@ def i1_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "case_id", "lead_specialist",
         F.array_join(F.transform("supervisor.specialties", lambda s: s["name"]), ",")
-        .alias("specialties"),
+        .alias("specialties"), "supervisor.rationale",
         F.array_join(F.transform("specialist_opinions", lambda o: F.coalesce(
             o["findings"], F.lit("-"))), "|").alias("findings"),
         "consensus.agreement_score", "consensus.level", "consensus.participating",
