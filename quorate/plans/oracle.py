@@ -644,6 +644,8 @@ facts AS (
   SELECT l_orderkey AS case_id, 'S' || l_linenumber AS specialty, l_returnflag AS attribute,
          l_linestatus AS value FROM lineitem),""" + _CONTESTED.format(facts="facts") + """
 SELECT case_id, attribute, value, count(*) AS stated, count(DISTINCT specialty) AS specialties,
+  count(*) AS members, CAST(count(*) * (
+    sum(count(*)) OVER (PARTITION BY case_id, attribute) - count(*)) AS BIGINT) AS links,
   coalesce(bool_or(specialty = lead), false) AS preferred
 FROM facts JOIN contested USING (case_id, attribute) LEFT JOIN lead USING (case_id)
 GROUP BY case_id, attribute, value""",

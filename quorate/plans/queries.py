@@ -307,7 +307,8 @@ def f3_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f4_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = stored(b.panel_facts(spark, sf_dir), "facts")
-    return co.find_conflicts(facts, b.panel_leads(facts))
+    # More pairs than an order has lines for: every pair is written out.
+    return co.find_conflicts(facts, b.panel_leads(facts), most=10_000)
 
 
 def f4_conflicting_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,8 +374,8 @@ def g5_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _panel_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assessments of order panels: triage, answers, agreement, consolidation."""
-    seated = stored(b.seats(spark, sf_dir), "seats")
-    panel = stored(_answered(seated), "panels")
+    answers = stored(ct.parse_responses(b.seats(spark, sf_dir), "opinion"), "answers")
+    panel = ct.clean_confidence(answers.where(F.col("status") != "failed"))
     parts = b.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"),
         F.concat(F.lit("part "), "l_partkey").alias("text"))
@@ -382,7 +383,7 @@ def _panel_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("n", "text"))).alias("parts")
     ).select("case_id", F.col("parts.text").alias("documents"))
     cases = b.order_cases(spark, sf_dir).join(documents, "case_id", "left")
-    team = b.asked_team(seated)
+    team = b.asked_team(answers)
     return concluded(stored(cases, "cases"), team, team, panel)
 
 

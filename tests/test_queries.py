@@ -13,9 +13,7 @@ from quorate.plans.oracle import ORACLE
 from quorate.plans.queries import registered
 
 DATA = "/root/testdata/sf0.001"
-# Checked on other data in their own tests, and slow to start.
-ELSEWHERE = {"h1_trace", "i1_assemble", "i1_assess_documents"}
-NAMES = sorted(n for n in registered() if n not in ELSEWHERE and "streamed" not in n)
+NAMES = sorted(registered())
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
