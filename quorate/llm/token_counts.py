@@ -28,6 +28,8 @@ PER_TASK, COUNTED = 4_096, 200_000
 # Entries of a worker's cache, the frequent ones included.
 CACHED = 400_000
 SEGMENT = re.compile(" +[^ ]*")
+# What the model writes for a space. Literal in a text, it changes how spaces next to it count.
+SPACE_PIECE = "\u2581"
 
 
 def pretokens(text: str) -> Iterator[list[str]]:
@@ -114,7 +116,10 @@ def word_lengths(model: object) -> Callable[[list[str]], list[int]]:
 
 def text_counter(encode: Callable[[list[str]], list[int]],
                  frequent: dict[str, int]) -> Callable[[list[str]], list[int]]:
-    """A function from texts to token counts that keeps what it has encoded."""
+    """A function from texts to token counts that keeps what it has encoded.
+
+    Texts that hold the model's own mark for a space are encoded whole.
+    """
     known = dict(frequent)
 
     def count(texts: list[str]) -> list[int]:
@@ -122,6 +127,9 @@ def text_counter(encode: Callable[[list[str]], list[int]],
         known = bounded(known, CACHED, frequent)
         totals = []
         for text in texts:
+            if SPACE_PIECE in text:
+                totals.append(encode([text])[0])
+                continue
             total = 0
             for words in pretokens(text):
                 missed = [word for word in set(words) if word not in known]
