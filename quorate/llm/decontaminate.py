@@ -7,7 +7,8 @@ the item (all of it, if shorter) has at most a fifth of its tokens changed.
 
 The masks hit every such window wherever its changed tokens are: 13 tokens with 2
 changed for MASKS, and 5 tokens with 1 changed for SHORT_MASKS, which any window of
-5 to 12 tokens with a fifth changed contains. So seeds lose nothing, and what they
+5 to 12 tokens with a fifth changed contains. Items of one to four tokens, which may
+not change at all, have one seed of all their tokens. So seeds lose nothing, and what they
 find is verified exactly. Documents are read in one map-only pass; only verified
 pairs of ids are shuffled.
 """
@@ -23,7 +24,7 @@ from quorate.functions.scale import broadcast_if_small, computed_once
 from quorate.llm.common import whole_text
 from quorate.session import stored
 
-WINDOW, SHORTEST = 13, 5
+WINDOW, SHORT = 13, 5
 MASKS = ("11101011", "110100111")
 SHORT_MASKS = ("1101", "1011")
 # Benchmark tokens looked up in one pass over the documents: about two seeds each,
@@ -106,7 +107,7 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Documents need ``doc_id`` and ``text``, the benchmark ``item_id`` and ``text``;
     other columns are ignored. Null texts count as empty. Items of fewer than five
-    tokens are never found. Repeated rows and ties give one row per pair of ids
+    tokens are found verbatim, items without any are not. Repeated rows and ties give one row per pair of ids
     (null ids too), with the most matching tokens of any alignment; an empty table on
     either side gives an empty result.
 
@@ -118,15 +119,17 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         benchmark.select(
             "item_id", tokens(whole_text()).alias("_tokens"),
             F.monotonically_increasing_id().alias("_item"),
-        ).where(F.size("_tokens") >= SHORTEST),
+        ).where(F.size("_tokens") > 0),
         "benchmark",
     )
-    total = items.agg(F.coalesce(F.sum(F.size("_tokens")), F.lit(0)).alias("n"),
-                      F.coalesce(F.min(F.size("_tokens")), F.lit(WINDOW)).alias("least"))
-    n, least = total.first()
-    passes = [(MASKS, F.size("_tokens") >= WINDOW)]
-    if least < WINDOW:
-        passes.append((SHORT_MASKS, F.size("_tokens") < WINDOW))
+    size = F.size("_tokens")
+    kind = F.when(size < SHORT, size).when(size < WINDOW, SHORT).otherwise(WINDOW)
+    # At most six rows: one for each length below five, one for each set of masks.
+    sizes = dict(items.groupBy(kind.alias("kind")).agg(F.sum(size).alias("n")).collect())
+    masks_of = {WINDOW: MASKS, SHORT: SHORT_MASKS, **{n: ("1" * n,) for n in range(1, SHORT)}}
+    passes = [(masks_of[found], kind == found) for found in sorted(sizes)] or [
+        (MASKS, F.lit(False))]
+    n = sum(sizes.values())
     blocks = max(1, -(-n // BLOCK_TOKENS))
     found = [
         _hits(read, items.where(length & (F.pmod(F.xxhash64("_item"), F.lit(blocks)) == block)),

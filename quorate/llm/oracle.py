@@ -80,7 +80,7 @@ ORACLE: dict[str, str] = {
             SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM words
         ), item_words AS (
             SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS ipos
-            FROM items WHERE len(ws) >= 5
+            FROM items
         ), same AS (
             SELECT doc_id, item_id, n, pos - ipos AS shift, ipos,
                    count(*) OVER (PARTITION BY doc_id, item_id, pos - ipos) AS matched,

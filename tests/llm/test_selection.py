@@ -30,7 +30,7 @@ def brute_overlaps(docs: list[str], items: list[str]) -> dict[tuple[int, int], t
     for (d, doc), (i, item) in itertools.product(enumerate(docs), enumerate(items)):
         x, y = doc.lower().split(), item.lower().split()
         w = min(13, len(y))
-        if len(y) < 5:
+        if not y:
             continue
         for shift in range(-len(y), len(x)):
             same = [0 <= shift + j < len(x) and x[shift + j] == y[j] for j in range(len(y))]
