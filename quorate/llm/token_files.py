@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,18 @@ CACHED = 300_000
 JOINED = 500
 ENDED = re.compile(r"([^\W\d_]+)([.,!?*%#$&|]+)")
 
+
+def stays_letters(run: str) -> bool:
+    """Whether a run of letters is still one after lower-casing and composition.
+
+    A few letters become a letter and a mark, which would join the marks that follow.
+    """
+    return run.isascii() or (
+        unicodedata.normalize("NFC", run).lower().isalpha()
+        and unicodedata.normalize("NFC", run.lower()).isalpha()
+    )
+
+
 PACKS = ("shard int, pack int, dictionary_sha256 string, doc_ids array<bigint>, "
          "n_tokens array<bigint>, offsets array<bigint>, tokens bigint, blob binary")
 
@@ -103,7 +116,8 @@ def text_encoder(tokenizer_path: str, end_id: int, kind: np.dtype) -> Callable[[
     end = np.array([end_id], dtype=kind).tobytes()
 
     def learn(words: list[str]) -> None:
-        split = {w: m.groups() for w in words if (m := ENDED.fullmatch(w))}
+        split = {w: m.groups() for w in words
+                 if (m := ENDED.fullmatch(w)) and stays_letters(m[1])}
         atoms = {part for parts in split.values() for part in parts}
         atoms.update(w for w in words if w not in split)
         new = [w for w in atoms if w not in known]

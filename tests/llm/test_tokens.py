@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -49,6 +50,31 @@ def test_counts_do_not_depend_on_chunks_or_on_the_table(monkeypatch):
     assert count(texts) == [len(ids) for ids in model.encode(texts)]
 
 
+def test_counts_next_to_the_mark_for_a_space():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    count = tc.text_counter(tc.word_lengths(model), {"the": 1})
+    draw = random.Random(2)
+    texts = ["▁", "▁ ", " ▁", "a▁ b", "▁▁  "]
+    texts += ["".join(draw.choice("▁▁  ab\n.") for _ in range(draw.randint(1, 12)))
+              for _ in range(3000)]
+    assert count(texts) == [len(ids) for ids in model.encode(texts)]
+
+
+def test_marks_after_every_letter_are_encoded_as_the_library_does():
+    kind = tf.id_type(WORDS)
+    encode = tf.text_encoder(WORDS, 2, kind)
+    draw = random.Random(3)
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha()]
+    words = [letter + "." for letter in letters]
+    words += ["".join(draw.choice(letters + ["İ"] * 20000) for _ in range(draw.randint(1, 4)))
+              + draw.choice(["!", "...", ",", "|*", "?!"]) for _ in range(20_000)]
+    words += ["DENİ.", "MİLLİ!", "İ."]
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    want = [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
+    got = [np.frombuffer(ids, kind)[:-1].tolist() for ids in encode(words)]
+    assert [w for w, a, b in zip(words, want, got, strict=True) if a != b] == []
+
+
 def test_counts_of_an_empty_table(spark):
     assert tc.token_counts(documents(spark, []), PIECES).count() == 0
 
