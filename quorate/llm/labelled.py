@@ -19,8 +19,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, in_training:
 
     Rows are picked in the order of a hash of their id, the same at every run. Labels
     other than 0 and 1, null ids and labels without a document are left out; an id
-    labelled twice counts as 1 if any of its labels is 1. An id carried by several
-    documents gives a row for each of them.
+    labelled twice counts as 1 if any of its labels is 1. Of documents that repeat an
+    id, the one with the smallest text counts, so the bound is one of rows.
     """
     usable = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & in_training)
@@ -31,7 +31,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, in_training:
         usable.where("label = 1").orderBy(*order).limit(per_class)
     )
     # 2 x per_class rows of two numbers at most.
-    return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(picked), "doc_id")
+    return (
+        docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(picked), "doc_id")
+        .groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+        .select("doc_id", "text", "label")
+    )
 
 
 def share_of_ones(labels: DataFrame, label: str, in_training: Column) -> float:

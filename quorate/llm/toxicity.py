@@ -23,14 +23,13 @@ from pyspark.sql import types as T
 from quorate.llm.common import bounded, long_keys
 from quorate.llm.labelled import share_of_ones, training_sample
 from quorate.llm.words import hashed, sigmoid
+from quorate.session import stored
 
 # Labelled documents the model is fitted on, for each of the two labels.
 PER_CLASS = 4_000
 FEATURE_BITS = 20
 # A feature needs so many differing toxic documents, and this log odds ratio.
 MIN_TOXIC, MIN_ODDS = 5, 2.0
-# Most swaps taken from one document.
-SWAPS = 3
 CACHED = 300_000
 WORD = re.compile(r"\w+")
 
@@ -71,81 +70,111 @@ def feature_set(words: set[str]) -> set[int]:
     return {feature for word in words for feature in features_of(word)}
 
 
-def swaps(words: set[str], terms: Sequence[Sequence[str]],
-          most: int = SWAPS) -> list[tuple[list[int], list[int]]]:
+def swaps(words: set[str], terms: Sequence[Sequence[str]]) -> list[tuple[list[int], list[int]]]:
     """Features that leave and enter when an identity term of a document is swapped.
 
-    A document without any such term lends itself to a planted mention: one row of
-    terms, chosen by its words, gives the term that stands in it and the one swapped in.
+    Each term found is swapped for every other term of its row. A document without any
+    term lends itself to a planted mention: one row of terms, chosen by its words, gives
+    the term that stands in it.
     """
-    found = []
-    for row in terms:
-        for k, term in enumerate(row):
-            if term in words:
-                found.append((term, row[(k + 1) % len(row)], words - {term}))
+    found = [(term, row) for row in terms for term in row if term in words]
     if not found:
         pick = hashed(min(words, default=""), FEATURE_BITS)
         row = terms[pick % len(terms)]
-        term = row[pick // len(terms) % len(row)]
-        found = [(term, row[(row.index(term) + 1) % len(row)], words)]
+        found = [(row[pick // len(terms) % len(row)], row)]
     out = []
-    for old, new, rest in found[:most]:
-        base = feature_set(rest) if old in words else set()
-        out.append((sorted(set(features_of(old)) - base), sorted(set(features_of(new)) - base)))
+    for old, row in found:
+        base = feature_set(words - {old}) if old in words else set()
+        left = sorted(set(features_of(old)) - base)
+        out += [(left, sorted(set(features_of(new)) - base)) for new in row if new != old]
     return out
 
 
-def sampled_features(sample: DataFrame, terms: Sequence[Sequence[str]]) -> list[T.Row]:
-    """Feature sets of the sampled documents (2 x PER_CLASS rows at most)."""
+def term_features(terms: Sequence[Sequence[str]]) -> set[int]:
+    """The features that stand for identity terms themselves; a model always has them."""
+    return {hashed(f"w{term}", FEATURE_BITS) for row in terms for term in row}
+
+
+def sampled_features(sample: DataFrame, terms: Sequence[Sequence[str]]) -> DataFrame:
+    """Per sampled document: label, key, ids, and for its swaps what leaves and enters.
+
+    Near copies share the key, the four smallest of their features in a mixed order.
+    """
+    pair = "array<array<int>>"
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for text in batch.column(0).to_pylist():
                 words = distinct_words(text)
-                ids = np.array(sorted(feature_set(words)), dtype=np.int32)
+                ids = sorted(feature_set(words))
+                mixed = np.array(ids, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
                 pairs = swaps(words, terms)
-                made.append((ids.tobytes(), [p[0] for p in pairs], [p[1] for p in pairs]))
-            ids, left, entered = zip(*made, strict=True) if made else ((), (), ())
+                made.append((" ".join(map(str, np.sort(mixed)[:4].tolist())), ids,
+                             [p[0] for p in pairs], [p[1] for p in pairs]))
+            keys, ids, left, entered = zip(*made, strict=True) if made else ((),) * 4
+            lists = pa.list_(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(ids, pa.binary()),
-                 pa.array(left, pa.list_(pa.list_(pa.int32()))),
-                 pa.array(entered, pa.list_(pa.list_(pa.int32())))],
-                names=["label", "ids", "left", "entered"],
+                [batch.column(1), pa.array(keys, pa.string()),
+                 pa.array(ids, pa.list_(pa.int32())), pa.array(left, lists),
+                 pa.array(entered, lists)],
+                names=["label", "key", "ids", "left", "entered"],
             )
 
     return sample.select("text", "label").mapInArrow(
-        extract, "label int, ids binary, left array<array<int>>, entered array<array<int>>"
-    ).collect()
+        extract, f"label int, key string, ids array<int>, left {pair}, entered {pair}"
+    )
 
 
-def selected(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Features that go with label 1, from documents that differ from each other.
+def selected(rows: DataFrame) -> list[int]:
+    """Features that go with label 1, counted by Spark; only those come to the driver.
 
-    Near copies would make every word of theirs look telling, so documents with the
-    same four smallest features count once.
+    Near copies would make every word of theirs look telling, so documents with one
+    key and label count once. There are 2^20 features at most.
     """
-    size = 1 << FEATURE_BITS
-    counts = np.zeros((2, size))
-    totals = np.zeros(2)
-    seen: set[tuple] = set()
-    mixed = (np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-    for ids, label in zip(sets, labels, strict=True):
-        order = np.sort(mixed[ids])[:4]
-        key = (int(label), *order.tolist())
-        if key in seen:
-            continue
-        seen.add(key)
-        counts[label, ids] += 1
-        totals[label] += 1
+    once = rows.groupBy("label", "key").agg(F.min("ids").alias("ids"))
+    totals = {r.label: r.n for r in once.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = once.select("label", F.explode("ids").alias("id")).groupBy("id").agg(
+        F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"))
     # Two clean documents more than seen, so that rare words have to prove themselves.
-    odds = np.log((counts[1] + 0.5) / (totals[1] + 1)) - np.log((counts[0] + 2) / (totals[0] + 2))
-    return np.flatnonzero((counts[1] >= MIN_TOXIC) & (odds >= MIN_ODDS))
+    odds = (F.log((F.col("toxic") + 0.5) / (totals.get(1, 0) + 1))
+            - F.log((F.col("clean") + 2) / (totals.get(0, 0) + 2)))
+    telling = counts.where((F.col("toxic") >= MIN_TOXIC) & (odds >= MIN_ODDS))
+    return sorted(r.id for r in telling.select("id").collect())
+
+
+def model_rows(rows: DataFrame, chosen: Sequence[int]) -> list[T.Row]:
+    """Sampled documents with the chosen features only: (label, ids, left, entered)."""
+    shared = rows.sparkSession.sparkContext.broadcast(frozenset(chosen))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = shared.value
+        for batch in batches:
+            ids = [[i for i in row if i in keep] for row in batch.column(1).to_pylist()]
+            swapped = [
+                [[[i for i in part if i in keep] for part in pair] for pair in zip(*both, strict=True)]
+                for both in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ]
+            lists = pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(ids, pa.list_(pa.int32())),
+                 pa.array([[p[0] for p in row] for row in swapped], lists),
+                 pa.array([[p[1] for p in row] for row in swapped], lists)],
+                names=["label", "ids", "left", "entered"],
+            )
+
+    pair = "array<array<int>>"
+    return (
+        rows.select("label", "ids", "left", "entered")
+        .mapInArrow(cut, f"label int, ids array<int>, left {pair}, entered {pair}")
+        .orderBy("label", "ids", "left", "entered").collect()
+    )
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]],
-        share: float, penalty: float = 1.0, ridge: float = 3e-6, rounds: int = 2_000) -> ToxicityModel:
-    """A logistic model on the selected features, in plain numpy.
+def fit(chosen: Sequence[int], sets: list[np.ndarray], labels: np.ndarray,
+        pairs: list[tuple[list[int], list[int]]], share: float, penalty: float = 1.0,
+        ridge: float = 3e-6, rounds: int = 2_000) -> ToxicityModel:
+    """A logistic model on the chosen features, in plain numpy.
 
     Adds ``penalty`` times the mean squared change of the score over the swaps. The
     intercept is moved from the sample's share of label 1 to the given one.
@@ -153,7 +182,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[list[int],
     if len(labels) == 0 or labels.min() == labels.max():
         edge = 0.5 if len(labels) == 0 else float(np.clip(labels.mean(), 0.01, 0.99))
         return ToxicityModel({}, float(np.log(edge / (1 - edge))))
-    chosen = selected(sets, labels)
+    chosen = np.array(sorted(chosen), dtype=np.int64)
     place = np.full(1 << FEATURE_BITS, -1)
     place[chosen] = np.arange(len(chosen))
 
@@ -198,11 +227,14 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, label: str =
     Only rows for which ``in_training`` (a condition on the labels table) holds are
     looked at. Without labels, or with one label only, every score is the same.
     """
-    rows = sampled_features(training_sample(docs, labels, label, in_training, per_class), terms)
-    pairs = [pair for row in rows for pair in zip(row.left, row.entered, strict=True)]
+    sample = training_sample(docs, labels, label, in_training, per_class)
+    rows = stored(sampled_features(sample, terms), "labelled-features")
+    chosen = sorted({*selected(rows), *term_features(terms)})
+    cut = model_rows(rows, chosen)
+    pairs = [pair for row in cut for pair in zip(row.left, row.entered, strict=True)]
     return fit(
-        [np.frombuffer(row.ids, dtype=np.int32) for row in rows],
-        np.array([row.label for row in rows], dtype=np.int64),
+        chosen, [np.array(row.ids, dtype=np.int64) for row in cut],
+        np.array([row.label for row in cut], dtype=np.int64),
         pairs, share_of_ones(labels, label, in_training), penalty,
     )
 
@@ -256,7 +288,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, in_training: Column, held_out:
 
     Needs ``doc_id`` and ``text`` of the documents and ``doc_id`` and ``toxic`` of the
     labels; other columns are ignored. Null texts count as empty, repeated rows and
-    null ids each give a row (a null id is not held out), an empty table gives none.
+    null ids each give a row (a null id is not held out), an empty table gives none. A
+    very long text is scored whole, by the set of its words in one task.
     """
     model = train(docs, labels, in_training)
     return score_toxicity(docs.select("doc_id", "text"), model).select(

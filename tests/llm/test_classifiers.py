@@ -58,7 +58,7 @@ def test_toxicity_on_held_out_rows(corpus):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.score < 0.3}
 
 
-def test_swapping_an_identity_term_moves_the_score_less_under_the_penalty():
+def test_the_trained_model_moves_less_under_the_penalty(spark):
     group = [("alphas", "betas", "folk")]
     draw = random.Random(6)
     texts, labels = [], []
@@ -71,29 +71,45 @@ def test_swapping_an_identity_term_moves_the_score_less_under_the_penalty():
         if draw.random() < (0.7 if toxic else 0.05):
             words += ["alphas"]
         texts.append(" ".join(words))
-        labels.append(int(toxic))
-    sets, pairs = [], []
-    for text in texts:
-        words = tx.distinct_words(text)
-        sets.append(np.array(sorted(tx.feature_set(words)), np.int32))
-        pairs += tx.swaps(words, group)
+        labels.append((k, 1, int(toxic)))
+    docs, marks = documents(spark, texts), spark.createDataFrame(labels, LABELS)
 
     def moved(penalty: float) -> float:
-        model = tx.fit(sets, np.array(labels), pairs, 0.25, penalty=penalty)
-        a, b = tx.text_scorer(model)(["plain talk of alphas", "plain talk of betas"])
-        assert tx.text_scorer(model)(["a snotwad here"])[0] > 0.3
-        return abs(a - b)
+        model = tx.train(docs, marks, F.lit(True), penalty=penalty, terms=group)
+        assert tx.term_features(group) <= model.weights.keys()
+        score = tx.text_scorer(model)
+        a, b, c = score(["plain talk of alphas", "plain talk of betas", "plain talk of folk"])
+        assert score(["a snotwad here"])[0] > 0.3
+        return max(abs(a - b), abs(a - c))
 
     free, held = moved(0.0), moved(10.0)
     assert free > 0.02 and held < free / 3
 
 
-def test_near_copies_do_not_make_their_words_telling():
-    copies = [tx.feature_set(tx.distinct_words(prose(1, 80) + f" x{k}")) for k in range(30)]
-    others = [tx.feature_set(tx.distinct_words(prose(100 + k, 80))) for k in range(100)]
-    sets = [np.array(sorted(s), np.int32) for s in copies + others]
-    chosen = tx.selected(sets, np.array([1] * 30 + [0] * 100))
-    assert len(chosen) == 0
+def test_every_term_is_swapped_for_every_other_of_its_row():
+    rows = [("aa", "bb", "cc"), ("dd", "ee")]
+    w = lambda term: tx.hashed(f"w{term}", tx.FEATURE_BITS)
+    assert tx.swaps({"aa", "ee", "other"}, rows) == [
+        ([w("aa")], [w("bb")]), ([w("aa")], [w("cc")]), ([w("ee")], [w("dd")])]
+    # A term that is there already does not enter again.
+    assert tx.swaps({"aa", "bb"}, rows)[0] == ([w("aa")], [])
+    assert len(tx.swaps({"plain"}, rows)) in (1, 2)
+
+
+def test_near_copies_do_not_make_their_words_telling(spark):
+    copies = [prose(1, 80) + f" x{k}" for k in range(30)]
+    others = [prose(100 + k, 80) for k in range(100)]
+    rows = spark.createDataFrame([(t, int(k < 30)) for k, t in enumerate(copies + others)],
+                                 "text string, label int")
+    assert tx.selected(tx.sampled_features(rows, tx.IDENTITY_TERMS)) == []
+
+
+def test_an_id_of_many_documents_gives_one_training_row(spark):
+    docs = documents(spark, [prose(k, 5) for k in range(50)], [7] * 49 + [8])
+    marks = spark.createDataFrame([(7, 1, 1), (8, 1, 0)], LABELS)
+    rows = training_sample(docs, marks, "toxic", F.lit(True), 10).collect()
+    assert sorted((r.doc_id, r.text, r.label) for r in rows) == [
+        (7, min(prose(k, 5) for k in range(49)), 1), (8, prose(49, 5), 0)]
 
 
 def test_quality_on_held_out_rows(corpus):
