@@ -164,11 +164,11 @@ def model_rows(rows: DataFrame, chosen: Sequence[int]) -> list[T.Row]:
             )
 
     pair = "array<array<int>>"
-    return (
-        rows.select("label", "ids", "left", "entered")
-        .mapInArrow(cut, f"label int, ids array<int>, left {pair}, entered {pair}")
-        .orderBy("label", "ids", "left", "entered").collect()
-    )
+    found = rows.select("label", "ids", "left", "entered").mapInArrow(
+        cut, f"label int, ids array<int>, left {pair}, entered {pair}"
+    ).collect()
+    # In one order whatever the partitions, so the same rows give the same weights.
+    return sorted(found)
 
 
 def fit(chosen: Sequence[int], sets: list[np.ndarray], labels: np.ndarray,
