@@ -79,7 +79,7 @@ def test_queries_against_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     got = queries.registered()[name](spark, SMALL).toPandas()
     con = duckdb.connect()
-    for table in ("documents", "labels", "benchmark", "conversations"):
+    for table in ("documents", "labels", "benchmark", "conversations", "embeddings"):
         con.sql(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
     want = con.sql(oracle.ORACLE[name]).df()
     columns = sorted(got.columns)
