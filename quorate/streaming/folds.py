@@ -90,22 +90,52 @@ class PanelBarrier(StatefulProcessor):
     """Emits a case's panel moments once, when its first spawn is complete.
 
     State per case: the first spawn, the answers it may need, a flag. Answers that
-    come before their spawn wait in the state, then as many as it announced.
+    come before their spawn wait in the state, then as many as it announced. With
+    ``keep_ms`` all of it is forgotten once the watermark is that far beyond the
+    case's last event (column ``us``): a panel that is not complete by then never
+    speaks, and an event that comes later still is the first of a new case.
     """
 
+    def __init__(self, keep_ms: int | None = None) -> None:
+        self._keep = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._spawn = handle.getValueState("spawn", "seq BIGINT, expected INT")
         self._answers = handle.getMapState("answers", "seq BIGINT", "confidence DOUBLE")
         self._closed = handle.getValueState("closed", "closed BOOLEAN")
+        if self._keep is not None:
+            self._until = handle.getValueState("until", "ms BIGINT")
+
+    def _prolong(self, chunk: pd.DataFrame) -> None:
+        """Move the case's one timer behind the latest of its events."""
+        if self._keep is None:
+            return
+        until = int(chunk["us"].max()) // 1000 + self._keep
+        was = self._until.get()[0] if self._until.exists() else None
+        if was is None or until > was:
+            if was is not None:
+                self._handle.deleteTimer(was)
+            self._handle.registerTimer(until)
+            self._until.update((until,))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any,
+                           expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        for state in (self._spawn, self._answers, self._closed, self._until):
+            state.clear()
+        return iter(())
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame],
                         timerValues: Any) -> Iterator[pd.DataFrame]:
         if self._closed.exists():
+            for chunk in rows:
+                self._prolong(chunk)
             return
         spawn = self._spawn.get() if self._spawn.exists() else None
         answers = {k[0]: v[0] for k, v in self._answers.iterator()}
         known = set(answers)
         for chunk in rows:
+            self._prolong(chunk)
             for row in chunk.sort_values("seq").itertuples():
                 if not pd.isna(row.expected):
                     if spawn is None or row.seq < spawn[0]:
@@ -144,20 +174,31 @@ class PanelBarrier(StatefulProcessor):
         pass
 
 
-def stream_panel_agreement(events: DataFrame) -> DataFrame:
-    """A stream with one agreement row per case, when its panel is complete."""
+def stream_panel_agreement(events: DataFrame, keep_ms: int | None = None,
+                           delay: str = "10 minutes") -> DataFrame:
+    """A stream with one agreement row per case, when its panel is complete.
+
+    Without ``keep_ms`` a case is remembered for ever, so it speaks once however
+    late its events come. With it, a case's state goes that much event time after
+    its last event, and ``delay`` bounds late arrival.
+    """
+    if keep_ms is not None:
+        events = events.withWatermark("ts", delay)
     payload = F.from_json("data", EVENT_PAYLOAD)
     spawn = F.col("type") == "specialists_spawned"
     rows = events.where(F.col("type").isin("specialists_spawned", "specialist_done")).select(
         "case_id", "seq",
         F.when(spawn, F.coalesce(payload["count"], F.lit(0))).alias("expected"),
         F.when(~spawn, clamp(number_from_text(payload["confidence"]))).alias("confidence"),
+        "ts", F.unix_micros("ts").alias("us"),
     )
-    moments = (
-        rows.mapInPandas(_thin, _BARRIER_ROW)
-        .groupBy("case_id")
-        .transformWithStateInPandas(PanelBarrier(), _BARRIER_OUT, "append", "none")
-    )
+    if keep_ms is None:
+        rows, mode = rows.drop("ts", "us").mapInPandas(_thin, _BARRIER_ROW), "none"
+    else:
+        # A Python map would lose the watermark of ``ts``.
+        mode = "eventTime"
+    moments = rows.groupBy("case_id").transformWithStateInPandas(
+        PanelBarrier(keep_ms), _BARRIER_OUT, "append", mode)
     return rounded_scores(agreement_level(score_moments(moments)))
 
 
@@ -166,11 +207,29 @@ def stream_panel_agreement(events: DataFrame) -> DataFrame:
 _STALLED = "case_id BIGINT, stage STRING, agent_name STRING, seq BIGINT, ts TIMESTAMP"
 
 
+def still_waiting(waiting: dict[int, int], ended: dict[int, int], within: int) -> dict[int, int]:
+    """The ``waiting`` events (seq to time) that no later-numbered done ended in time.
+
+    One merge from the highest ``seq`` down: the earliest done seen so far is the
+    only one that can matter, so the step is linear after sorting.
+    """
+    ends = sorted(ended.items(), reverse=True)
+    left, at, earliest = {}, 0, None
+    for seq, us in sorted(waiting.items(), reverse=True):
+        while at < len(ends) and ends[at][0] > seq:
+            earliest = ends[at][1] if earliest is None else min(earliest, ends[at][1])
+            at += 1
+        if earliest is None or earliest - us > within:
+            left[seq] = us
+    return left
+
+
 class TimeoutWatch(StatefulProcessor):
     """Emits thinking events that saw no done in time, once their time is up.
 
     A verdict falls only when the watermark passes the deadline: by then every
-    done that could still be in time has arrived, in whatever order.
+    done that could still be in time has arrived, in whatever order. A key has one
+    timer, set to its next deadline, so a batch reads its state at most twice.
     """
 
     def __init__(self, timeout_ms: int) -> None:
@@ -180,6 +239,7 @@ class TimeoutWatch(StatefulProcessor):
         self._handle = handle
         self._open = handle.getMapState("open", "seq BIGINT", "us BIGINT")
         self._done = handle.getMapState("done", "seq BIGINT", "us BIGINT")
+        self._alarm = handle.getValueState("alarm", "ms BIGINT")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame],
                         timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -187,39 +247,56 @@ class TimeoutWatch(StatefulProcessor):
         ended = {k[0]: v[0] for k, v in self._done.iterator()}
         was_waiting, was_ended = set(waiting), set(ended)
         for chunk in rows:
-            for row in chunk.itertuples():
-                (ended if row.is_done else waiting)[int(row.seq)] = int(row.us)
+            for is_done, seq, us in zip(chunk["is_done"], chunk["seq"], chunk["us"]):
+                (ended if is_done else waiting)[int(seq)] = int(us)
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        ends = sorted(ended.items())
-        for seq, us in list(waiting.items()):
-            if any(s > seq and end - us <= self._timeout for s, end in ends):
-                del waiting[seq]
+        waiting = still_waiting(waiting, ended, self._timeout)
         ended = {s: us for s, us in ended.items() if us >= watermark}
         for seq in set(waiting) - was_waiting:
             self._open.updateValue((seq,), (waiting[seq],))
-            self._handle.registerTimer(self._deadline(waiting[seq]))
         for seq in was_waiting - set(waiting):
             self._open.removeKey((seq,))
         for seq in set(ended) - was_ended:
             self._done.updateValue((seq,), (ended[seq],))
         for seq in was_ended - set(ended):
             self._done.removeKey((seq,))
+        self._set_alarm(waiting)
         return iter(())
 
     def _deadline(self, us: int) -> int:
         return -(-(us + self._timeout) // 1000)
 
+    def _set_alarm(self, waiting: dict[int, int]) -> None:
+        """Keep the key's one timer at the first deadline that is left."""
+        was = self._alarm.get()[0] if self._alarm.exists() else None
+        due = self._deadline(min(waiting.values())) if waiting else None
+        if due == was:
+            return
+        if was is not None:
+            self._handle.deleteTimer(was)
+        if due is None:
+            self._alarm.clear()
+        else:
+            self._handle.registerTimer(due)
+            self._alarm.update((due,))
+
     def handleExpiredTimer(self, key: Any, timerValues: Any,
                            expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
-        due = [(k[0], v[0]) for k, v in self._open.iterator() if self._deadline(v[0]) <= at]
-        for seq, _ in due:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        waiting = {k[0]: v[0] for k, v in self._open.iterator()}
+        due = [seq for seq, us in waiting.items()
+               if self._deadline(us) <= at or self._deadline(us) < watermark]
+        late = [waiting.pop(seq) for seq in due]
+        for seq in due:
             self._open.removeKey((seq,))
+        # The timer that fired is gone already.
+        self._alarm.clear()
+        self._set_alarm(waiting)
         if due:
             yield pd.DataFrame({
                 "case_id": key[0], "stage": key[1], "agent_name": key[2],
-                "seq": [seq for seq, _ in due],
-                "ts": pd.to_datetime([us for _, us in due], unit="us"),
+                "seq": due, "ts": pd.to_datetime(late, unit="us"),
             })
 
     def close(self) -> None:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -245,6 +246,69 @@ def test_streamed_stalls_equal_batch(spark, tmp_path):
     assert sorted(got.select(*pick).collect()) == sorted(expected.collect())
 
 
+def test_waiting_events_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        waiting = {rng.randrange(40): rng.randrange(60) for _ in range(rng.randrange(12))}
+        ended = {rng.randrange(40): rng.randrange(60) for _ in range(rng.randrange(12))}
+        expected = {seq: us for seq, us in waiting.items()
+                    if not any(s > seq and end - us <= 9 for s, end in ended.items())}
+        assert folds.still_waiting(waiting, ended, 9) == expected
+
+
+def test_waiting_events_of_one_hot_key_are_merged_in_one_pass():
+    n = 100_000
+    waiting = {2 * i: 10 * i for i in range(n)}
+    ended = {2 * i + 1: 10 * i + 1_000_000 for i in range(n)}
+    start = time.perf_counter()
+    assert folds.still_waiting(waiting, ended, 999_999) == waiting
+    assert folds.still_waiting(waiting, ended, 1_000_000) == {}
+    assert time.perf_counter() - start < 5
+
+
+def test_one_key_with_many_open_events_in_a_stream(spark, tmp_path):
+    rows = [(1, i, START + timedelta(seconds=i), "judge_thinking", "j", "{}")
+            for i in range(3000)]
+    rows += [(1, 2 * i + 10_000, START + timedelta(seconds=2 * i + 1), "judge_done", "j", "{}")
+             for i in range(1400)]
+    rows += [(1, 20_000, START + timedelta(seconds=9000), "error", "", "{}")]
+    df = spark.createDataFrame(rows, EVENTS)
+    arrive = tmp_path / "in"
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    for part in (df.where("seq < 20000"), df.where("seq >= 20000"), df.where("seq < 0")):
+        part.write.mode("append").parquet(str(arrive))
+        folds.stream_stalled_agents(
+            stream_events(spark, str(arrive), "parquet")[0], 60, "0 seconds",
+        ).writeStream.format("parquet").option("checkpointLocation", mark).trigger(
+            availableNow=True).start(out).awaitTermination()
+    got = sorted(r.seq for r in spark.read.parquet(out).select("seq").collect())
+    done = [2 * i + 1 for i in range(1400)]
+    assert got == [i for i in range(3000) if not any(d - i <= 60 for d in done)]
+
+
+def test_barrier_forgets_a_case_after_its_time(spark, tmp_path):
+    """Case 1 has its answer before, case 2 after a long silence: 1 is forgotten."""
+    early = log(spark, ("specialist_done", "a", {"confidence": 0.9}), case_id=1)
+    silence = log(spark, ("specialist_done", "z", {"confidence": 0.1}), case_id=3).withColumn(
+        "ts", F.expr("ts + make_interval(0, 0, 0, 1)"))
+    late = [log(spark, spawn("A", count=1), ("specialist_done", "a", {"confidence": 0.9}),
+                case_id=2),
+            log(spark, spawn("A", count=1), case_id=1)]
+    late = late[0].unionByName(late[1]).withColumn("seq", F.col("seq") + 50).withColumn(
+        "ts", F.expr("ts + make_interval(0, 0, 0, 2)"))
+    said = {}
+    for keep in (3_600_000, None):
+        arrive, out, mark = (str(tmp_path / f"{name}{keep}") for name in ("in", "out", "mark"))
+        for part in (early, silence, late):
+            part.write.mode("append").parquet(arrive)
+            folds.stream_panel_agreement(
+                stream_events(spark, arrive, "parquet")[0], keep,
+            ).writeStream.format("parquet").option("checkpointLocation", mark).trigger(
+                availableNow=True).start(out).awaitTermination()
+        said[keep] = {r.case_id for r in spark.read.parquet(out).collect()}
+    assert said == {3_600_000: {2}, None: {1, 2}}
+
+
 def test_unknown_types_are_set_aside(spark, tmp_path):
     df = log(spark, ("judge_done", "j", {}), ("made_up", "x", {}), (None, "x", {}))
     df.write.json(str(tmp_path / "in"))
