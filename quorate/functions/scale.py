@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,40 +85,34 @@ def carry(df: DataFrame, keys: Sequence[str], seq: str, value: Column, out: str,
     blocks. ``seq`` must be unique within the keys; ``value`` must not be null
     inside a struct. ``inclusive=False`` leaves the row itself out.
     """
-    keys = list(keys)
     pick = F.max_by if forward else F.min_by
-    cut = (
-        df.withColumn("_value", value)
-        .withColumn("_block", F.floor(F.col(seq) / F.lit(block)))
-    )
-    handed = cut.groupBy(*keys, "_block").agg(
+    # One struct names a block of a group: it is never null, whatever its keys are,
+    # so aggregate, window and join all share the one shuffle by it.
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    number = F.floor(F.col(seq) / F.lit(block))
+    cut = df.withColumns({
+        "_value": value, "_cell": F.struct(key.alias("key"), number.alias("block"))})
+    handed = cut.groupBy("_cell").agg(
         pick("_value", F.when(F.col("_value").isNotNull(), F.col(seq))).alias("_edge")
     )
-    block_order = F.col("_block") if forward else F.col("_block").desc()
+    block_order = F.col("_cell.block") if forward else F.col("_cell.block").desc()
     row_order = F.col(seq) if forward else F.col(seq).desc()
     earlier = (
-        Window.partitionBy(*keys).orderBy(block_order)
+        Window.partitionBy("_cell.key").orderBy(block_order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     inside = (
-        Window.partitionBy(*keys, "_block").orderBy(row_order)
+        Window.partitionBy("_cell").orderBy(row_order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
     carried = handed.select(
-        *keys, "_block", F.last("_edge", ignorenulls=True).over(earlier).alias("_carried")
-    )
-    # Null keys are keys like any other.
-    handed_on = carried.select(
-        *[F.col(key).alias(f"_key{i}") for i, key in enumerate([*keys, "_block"])], "_carried"
+        "_cell", F.last("_edge", ignorenulls=True).over(earlier).alias("_carried")
     )
-    same = [F.col(key).eqNullSafe(F.col(f"_key{i}")) for i, key in enumerate([*keys, "_block"])]
     return (
-        cut.join(handed_on, reduce(lambda a, b: a & b, same))
-        .withColumn(
-            out,
-            F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_carried")),
-        )
-        .drop("_block", "_value", "_carried", *[f"_key{i}" for i in range(len(same))])
+        cut.withColumn("_near", F.last("_value", ignorenulls=True).over(inside))
+        .join(carried, "_cell")
+        .withColumn(out, F.coalesce("_near", "_carried"))
+        .drop("_cell", "_value", "_near", "_carried")
     )
 
 

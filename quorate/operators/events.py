@@ -337,13 +337,22 @@ def rounded_scores(scored: DataFrame) -> DataFrame:
     )
 
 
-def emit_trace(assessments: DataFrame) -> DataFrame:
+def tokens_of(text: Column) -> Column:
+    """A text cut into words, each with the white space behind it; joined, the same text."""
+    return F.coalesce(
+        F.regexp_extract_all(text, F.lit(r"\S+\s*|^\s+"), F.lit(0)),
+        F.array().cast("array<string>"))
+
+
+def emit_trace(assessments: DataFrame, streamed: bool = False) -> DataFrame:
     """The ordered events of finished cases, built inside each assessment row.
 
     Every assessment explodes into its own event list: no shuffle, no numbering
     window. Everyone asked is announced and starts; an answer that could not be
     used is missing among the done ones, which keep their seats' names. Run it on
-    stored assessments.
+    stored assessments. ``streamed`` puts the answer's text, token by token, as
+    ``agent_stream`` events in front of each done event; ``assemble_drafts`` puts
+    it together again.
     """
     def event(kind: str, agent: Column | str, data: Column) -> Column:
         name = F.lit(agent) if isinstance(agent, str) else agent
@@ -370,13 +379,22 @@ def emit_trace(assessments: DataFrame) -> DataFrame:
 
     def done(opinion: Column, i: Column) -> Column:
         asked = F.get("asked", F.get("seats", i))
-        return event("specialist_done", agent_key(asked), F.to_json(opinion))
-
-    def stage(name: str) -> tuple[Column, Column]:
+        return answered("specialist_done", agent_key(asked), F.to_json(opinion))
+
+    def answered(kind: str, name: Column | str, text: Column) -> Column:
+        """The done event of an answer, behind its tokens."""
+        end = F.array(event(kind, name, text))
+        if not streamed:
+            return end
+        spoken = F.transform(tokens_of(text), lambda token: event(
+            "agent_stream", name, F.to_json(F.struct(token.alias("token")))))
+        return F.concat(spoken, end)
+
+    def stage(name: str) -> Column:
         report = {"triage": "supervisor", "judge": "judge_report", "safety": "safety_report"}
-        return (
-            event(f"{name}_thinking", agent[name], F.to_json(F.struct(message(name)))),
-            event(f"{name}_done", agent[name], F.to_json(report[name])),
+        return F.concat(
+            F.array(event(f"{name}_thinking", agent[name], F.to_json(F.struct(message(name))))),
+            answered(f"{name}_done", agent[name], F.to_json(report[name])),
         )
 
     summary = F.to_json(F.struct(
@@ -385,15 +403,16 @@ def emit_trace(assessments: DataFrame) -> DataFrame:
         "supervisor", "specialist_opinions", "consensus", "judge_report", "safety_report"
     ))
     log = F.concat(
-        F.array(*stage("triage"), event("specialists_spawned", agent["panel"], spawned)),
+        stage("triage"),
+        F.array(event("specialists_spawned", agent["panel"], spawned)),
         F.transform("asked", thinking),
-        F.transform(opinions, done),
+        F.flatten(F.transform(opinions, done)),
         F.array(
             event("consensus_done", agent["panel"], F.to_json("consensus")),
             event("discussion_summary", agent["panel"], summary),
-            *stage("judge"), *stage("safety"),
-            event("pipeline_complete", "", whole),
         ),
+        stage("judge"), stage("safety"),
+        F.array(event("pipeline_complete", "", whole)),
     )
     return assessments.select("case_id", F.posexplode(log).alias("seq", "e")).select(
         "case_id", F.col("seq").cast("bigint").alias("seq"), "e.type", "e.agent_name", "e.data"

@@ -150,6 +150,73 @@ def triage_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.select(F.col("o_orderkey").alias("case_id"), raw.alias("raw"))
 
 
+def judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as raw answers of a judge; the customer key chooses what is wrong."""
+    kind = F.col("o_custkey") % 9
+    status = F.col("o_orderstatus")
+    summary = F.when(kind == 4, "null").otherwise(
+        F.concat(F.lit('"status '), status, F.lit('"')))
+    listed = (
+        F.when(kind == 2, '"Keep"').when(kind == 5, "[null]")
+        .when(kind == 6, F.concat(F.lit('["Keep '), status, F.lit('", 7]')))
+        .otherwise(F.concat(F.lit('["Keep '), status, F.lit('", "Watch"]'))))
+    found = F.when(kind == 7, "[null]").otherwise(
+        F.concat(F.lit('["status '), status, F.lit('", "due"]')))
+    findings = F.when(kind != 3, F.concat(
+        F.lit('"key_findings_by_specialty": {"'), "o_orderpriority", F.lit('": '), found,
+        F.lit(', "none": []}')))
+    body = F.concat(F.lit("{"), F.concat_ws(
+        ", ", F.concat(F.lit('"final_summary": '), summary), findings,
+        F.concat(F.lit('"consolidated_recommendations": '), listed)), F.lit("}"))
+    raw = F.when(kind == 0, "No ruling").when(
+        kind == 1, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("case_id"), raw.alias("raw"))
+
+
+def safety_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as raw safety reports, broken in ways chosen by the supplier key."""
+    line = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_discount"))
+    kind = F.col("l_suppkey") % 11
+    number = F.round(F.col("l_discount") * 10, 1).cast("decimal(3,1)").cast("string")
+    part = F.concat(F.lit("part "), "l_partkey")
+    verified = F.when(kind != 9, F.concat(
+        F.lit('"verified_findings": ["'), part, F.lit('", "counted"]')))
+    issue = F.when(kind == 7, "").otherwise(', "issue": "not found"')
+    flagged = F.when(kind == 8, '"none"').otherwise(F.concat(
+        F.lit('[{"specialist": "S'), "l_linenumber", F.lit('", "claim": "'), part, F.lit('"'),
+        issue, F.lit("}]")))
+    confidence = F.when(kind == 5, F.concat(F.lit('"'), number, F.lit('"'))).when(
+        kind == 6, '"high"').otherwise(number)
+    safe = F.when(kind == 2, '"yes"').when(kind == 3, "0").when(kind == 4, '"maybe"').otherwise(
+        "true")
+    body = F.concat(F.lit("{"), F.concat_ws(
+        ", ", verified, F.concat(F.lit('"flagged_issues": '), flagged),
+        F.concat(F.lit('"final_summary": "line '), "l_linenumber", F.lit('"')),
+        F.concat(F.lit('"overall_confidence": '), confidence),
+        F.concat(F.lit('"is_safe": '), safe)), F.lit("}"))
+    raw = F.when(kind == 0, "No report").when(
+        kind == 1, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
+    return line.select(
+        F.col("l_orderkey").alias("case_id"),
+        F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("pos"), raw.alias("raw"))
+
+
+def map_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lines of a specialist map: a brand's indicators, one with a synonym."""
+    lead = F.when(F.col("p_size") > 30, "High").when(F.col("p_size") > 15, "Medium").otherwise(
+        "Low")
+    line = F.concat(
+        F.lit("| **"), "p_brand", F.lit("** | "), "p_name", F.lit(", item "), "p_partkey",
+        F.lit(" (no "), "p_partkey", F.lit("), "), F.lower("p_type"), F.lit(". | "), lead,
+        F.lit(" |"))
+    heading = spark.range(1).select(F.explode(F.array(
+        F.lit("| Specialty | Key Indicators | Lead Potential |"),
+        F.lit("| :--- | :--- | :--- |"))).alias("value"))
+    return heading.unionByName(table(spark, sf_dir, "part").select(line.alias("value")))
+
+
 def panel_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as facts: the status each line gives for its return flag."""
     rows = spread(table(spark, sf_dir, "lineitem")).select(

@@ -493,6 +493,13 @@ SELECT case_id, question, n_documents, md5(combined) AS documents_md5 FROM cases
         || '}' || CASE WHEN kind = 6 THEN ']' ELSE '' END END""") + """
 SELECT case_id, pos, 'specialist_' || pos AS agent_name, raw FROM panels""",
 
+    "a2_indicator_map": """
+SELECT p_brand AS specialty,
+  unnest([p_name, 'item ' || p_partkey, 'no ' || p_partkey, lower(p_type)]) AS indicator,
+  CASE WHEN p_size > 30 THEN 'High' WHEN p_size > 15 THEN 'Medium' ELSE 'Low' END
+    AS lead_potential
+FROM part""",
+
     "a4_stream_events": "WITH " + _EVENTS + """
 SELECT type, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM ev GROUP BY type""",
 
@@ -524,6 +531,12 @@ SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos, unnest(l) A
     "c2_team": "WITH " + _HITS.format(case=_BY_FIVE) + """
 SELECT case_id, pos, specialty, reason, score, hits FROM ranked WHERE pos < 5""",
 
+    "c2_sized_team": "WITH " + _HITS.format(case=_BY_FIVE) + """,
+sized AS (
+  SELECT *, count(*) FILTER (score >= 2) OVER (PARTITION BY case_id) AS systems FROM ranked)
+SELECT case_id, pos, specialty, reason, score, hits, systems FROM sized
+WHERE pos < CASE WHEN systems >= 3 THEN 5 ELSE 2 END""",
+
     "c3_support": "WITH " + _SUPPORTED + " SELECT * FROM supported",
 
     "c3_support_one_pass": "WITH " + _SUPPORTED + " SELECT * FROM supported",
@@ -754,6 +767,27 @@ SELECT CASE WHEN kind IN (0, 3, 6) THEN 'auth' WHEN kind IN (1, 4) THEN 'rate_li
   count(*) AS failures
 FROM e GROUP BY 1""",
 
+    "h2_stages_of_trace": _ASSESSED + "," + _ROWS_OF_CASE + """
+SELECT case_id, agent_name AS stage,
+  upper(replace(agent_name, 'specialist_', '')) AS specialty,
+  CASE WHEN bool_or(type = 'specialist_done') THEN 'done' ELSE 'thinking' END AS status,
+  arg_max_null(findings, seq) FILTER (type = 'specialist_done') AS findings
+FROM steps WHERE type IN ('specialist_thinking', 'specialist_done')
+GROUP BY case_id, agent_name""",
+
+    "h2_cases_of_trace": _ASSESSED + """
+SELECT o_orderkey AS case_id, lead AS lead_specialist, true AS spawned, true AS complete,
+  CAST(NULL AS VARCHAR) AS error, coalesce(agreed.level, 'none') AS level,
+  CAST(is_safe AS VARCHAR) AS is_safe
+FROM orders
+LEFT JOIN nested ON nested.case_id = o_orderkey
+LEFT JOIN agreed ON agreed.case_id = o_orderkey
+LEFT JOIN safety ON safety.case_id = o_orderkey""",
+
+    "h3_drafts_of_trace": _ASSESSED + "," + _ROWS_OF_CASE + """
+SELECT case_id, agent_name, coalesce(string_agg(findings, '|' ORDER BY seq), '') AS findings
+FROM steps WHERE type = 'specialist_done' GROUP BY case_id, agent_name""",
+
     "h1_trace": _ASSESSED + "," + _ROWS_OF_CASE + """
 SELECT case_id, CAST(seq AS BIGINT) AS seq, type, agent_name, lead, message, count, findings
 FROM steps""",
@@ -808,6 +842,37 @@ WHERE specialty = 'Pharmacist'""",
     "i2_callback": "WITH " + _EVENTS + " SELECT type, CAST(count(*) AS BIGINT) AS n FROM ev "
     "GROUP BY type",
 
+    "d3_judge": """
+WITH told AS (SELECT *, o_custkey % 9 AS kind FROM orders)
+SELECT o_orderkey AS case_id,
+  CASE kind WHEN 0 THEN 'unparsed' WHEN 1 THEN 'failed' WHEN 8 THEN 'valid' ELSE 'invalid' END
+    AS status,
+  kind = 8 AS valid,
+  CASE WHEN kind NOT IN (0, 1, 4) THEN 'status ' || o_orderstatus END AS final_summary,
+  CASE WHEN kind IN (0, 1, 2) THEN NULL WHEN kind = 5 THEN ''
+       ELSE 'Keep ' || o_orderstatus || CASE WHEN kind = 6 THEN '|7' ELSE '|Watch' END
+  END AS recommendations,
+  CASE WHEN kind NOT IN (0, 1, 3) THEN o_orderpriority || '='
+       || CASE WHEN kind = 7 THEN '' ELSE 'status ' || o_orderstatus || ',due' END || '|none='
+  END AS findings
+FROM told""",
+
+    "d3_safety": """
+WITH told AS (
+  SELECT *, l_suppkey % 11 AS kind,
+         CAST(CAST(round(l_discount * 10, 1) AS DECIMAL(3,1)) AS DOUBLE) AS conf FROM lineitem)
+SELECT l_orderkey AS case_id, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_suppkey, l_partkey,
+  CASE WHEN kind = 0 THEN 'unparsed' WHEN kind = 1 THEN 'failed'
+       WHEN kind IN (4, 6, 7, 8, 9) THEN 'invalid' ELSE 'valid' END AS status,
+  kind IN (2, 3, 5, 10) AS valid,
+  CASE WHEN kind NOT IN (0, 1, 9) THEN 'part ' || l_partkey || '|counted' END AS verified,
+  CASE WHEN kind NOT IN (0, 1, 8) THEN 'S' || l_linenumber || '/part ' || l_partkey
+       || CASE WHEN kind = 7 THEN '' ELSE '/not found' END END AS flagged,
+  CASE WHEN kind > 1 THEN 'line ' || l_linenumber END AS final_summary,
+  CASE WHEN kind NOT IN (0, 1, 6) THEN conf END AS overall_confidence,
+  CASE WHEN kind NOT IN (0, 1, 4) THEN kind <> 3 END AS is_safe
+FROM told""",
+
     "d3_opinions": "WITH " + _ANSWERS + """
 SELECT case_id, CAST(ln AS BIGINT) AS l_linenumber, sk AS l_suppkey, pk AS l_partkey, status,
   status = 'valid' AS valid, specialty, findings, recommendation, quotes, confidence FROM answers""",

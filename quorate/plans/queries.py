@@ -63,6 +63,12 @@ def a1_read_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def a2_indicator_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "map")
+    b.map_lines(spark, sf_dir).write.text(path)
+    return src.read_indicator_map(spark, path)
+
+
 def a3_read_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "responses")
     rows = ag.numbered(b.answers(spark, sf_dir))
@@ -162,6 +168,10 @@ def c2_team(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.select_team(_hits(spark, sf_dir))
 
 
+def c2_sized_team(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.select_sized_team(_hits(spark, sf_dir))
+
+
 def c3_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _hits(spark, sf_dir)
     return tr.require_support_roles(tr.select_team(hits, 2), hits)
@@ -234,6 +244,30 @@ def d3_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def d3_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = ct.parse_responses(b.judge_answers(spark, sf_dir), "judge")
+    by_name = F.transform(
+        F.map_entries("key_findings_by_specialty"),
+        lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ",")))
+    return parsed.select(
+        "case_id", "status", "valid", "final_summary",
+        F.array_join("consolidated_recommendations", "|").alias("recommendations"),
+        F.array_join(F.sort_array(by_name), "|").alias("findings"),
+    )
+
+
+def d3_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = ct.parse_responses(b.safety_answers(spark, sf_dir), "safety")
+    issues = F.transform(
+        "flagged_issues", lambda i: F.concat_ws("/", i["specialist"], i["claim"], i["issue"]))
+    return parsed.select(
+        "case_id", "pos.l_linenumber", "pos.l_suppkey", "pos.l_partkey", "status", "valid",
+        F.array_join("verified_findings", "|").alias("verified"),
+        F.array_join(issues, "|").alias("flagged"),
+        "final_summary", "overall_confidence", "is_safe",
+    )
+
+
 def d4_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = ct.parse_responses(b.triage_answers(spark, sf_dir), "triage")
     return ct.backfill_lead(parsed).select(
@@ -397,6 +431,35 @@ def h1_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored log of the order panels, with the tokens of every answer."""
+    assessed = stored(_panel_assessments(spark, sf_dir), "assessments")
+    return stored(ev.emit_trace(assessed, streamed=True), "trace")
+
+
+def h2_stages_of_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.stage_status(_trace(spark, sf_dir)).where(F.col("specialty").isNotNull()).select(
+        "case_id", "stage", "specialty", "status",
+        F.get_json_object("data", "$.findings").alias("findings"),
+    )
+
+
+def h2_cases_of_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.case_status(_trace(spark, sf_dir)).select(
+        "case_id", "lead_specialist", "spawned", "complete", "error",
+        F.get_json_object("consensus", "$.level").alias("level"),
+        F.get_json_object("safety_report", "$.is_safe").alias("is_safe"),
+    )
+
+
+def h3_drafts_of_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the specialists' drafts say, put together from their tokens."""
+    drafts = ev.assemble_drafts(ev.draft_tokens(_trace(spark, sf_dir)))
+    said = F.regexp_extract_all("draft", F.lit('"findings":"([^"]*)"'), F.lit(1))
+    return drafts.where(F.col("agent_name").startswith("specialist_")).select(
+        "case_id", "agent_name", F.array_join(said, "|").alias("findings"))
+
+
 def h2_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.stage_status(b.events(spark, sf_dir))
 
@@ -536,16 +599,18 @@ def i2_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        a1_read_cases, a3_read_responses, a4_stream_events, a5_write_assessments,
+        a1_read_cases, a2_indicator_map, a3_read_responses, a4_stream_events, a5_write_assessments,
         b1_validate, b1_validate_lax, b2_split, b3_combine,
-        c1_hits, c2_team, c3_support, c3_support_one_pass, c4_lead, c5_fallback, c6_cap, c7_worklist,
-        d1_review, d2_extractive, d3_opinions, d4_backfill, d5_clean,
+        c1_hits, c2_team, c2_sized_team, c3_support, c3_support_one_pass, c4_lead, c5_fallback,
+        c6_cap, c7_worklist,
+        d1_review, d2_extractive, d3_opinions, d3_judge, d3_safety, d4_backfill, d5_clean,
         e1_agreement, e1_agreement_of_answers, e2_levels, e2_level_counts,
         e3_by_specialty, e4_outliers, e5_breakdown,
         f1_findings, f2_recommendations, f3_overlaps, f4_conflicts, f4_conflicting_values,
         f5_divergence,
         g1_quotes, g2_corpus, g3_values, g4_verdicts, g5_report, g5_summary,
-        h1_trace, h2_stages, h2_cases, h2_stages_streamed, h3_drafts, h3_drafts_streamed,
+        h1_trace, h2_stages, h2_cases, h2_stages_streamed, h2_stages_of_trace, h2_cases_of_trace,
+        h3_drafts, h3_drafts_streamed, h3_drafts_of_trace,
         h4_orphans, h5_latency, h6_barrier, h6_barrier_streamed, h6_barrier_large,
         h6_barrier_large_streamed, h7_stalled,
         h7_stalled_streamed, h8_failures,

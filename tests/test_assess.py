@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quorate.operators.events import emit_trace
+from quorate.operators.events import emit_trace, tokens_of
 from quorate.plans.assess import assess
 from quorate.schemas import CASES
 from quorate.sources import tables as src
@@ -202,3 +202,29 @@ def test_failing_stages_leave_their_part_empty(spark):
     assert {(r.agent_name, r.status, r["class"]) for r in done.failures.collect()} == {
         ("supervisor_agent", "error", "connectivity"), ("judge_agent", "unparsed", "other"),
         ("safety_agent", "error", "connectivity")}
+
+
+def test_streamed_tokens_of_a_trace_join_to_the_answers(spark):
+    done = assess(cases(spark), src.default_indicator_map(spark))
+    trace = emit_trace(done.assessments, streamed=True).where(
+        "agent_name <> 'orchestrator' AND agent_name <> ''").orderBy("case_id", "seq").collect()
+    spoken, answers = {}, {}
+    for r in trace:
+        if r.type == "agent_stream":
+            spoken.setdefault((r.case_id, r.agent_name), []).append(json.loads(r.data)["token"])
+        elif r.type.endswith("_done") and r.data:
+            answers[r.case_id, r.agent_name] = r.data
+            assert "".join(spoken[r.case_id, r.agent_name]) == r.data
+    assert answers and answers.keys() == spoken.keys()
+    assert any(len(tokens) > 3 for tokens in spoken.values())
+    plain = emit_trace(done.assessments).drop("seq").collect()
+    whole = emit_trace(done.assessments, streamed=True)
+    assert sorted(map(str, plain)) == sorted(
+        map(str, whole.where("type <> 'agent_stream'").drop("seq").collect()))
+
+
+def test_a_text_is_cut_into_tokens_without_loss(spark):
+    texts = ["", "  a  b", "one", "a\nb \t c ", " \n ", None, "é 中 x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = df.select("t", tokens_of(F.col("t")).alias("k")).collect()
+    assert all("".join(r.k) == (r.t or "") for r in got)

@@ -224,3 +224,16 @@ def test_extractive_review(spark):
     assert rows[0].recommendation == "Follow up on ECG, heart failure"
     assert [r.confidence for r in rows] == [0.5, 0.5, 0.0, 0.0]
     assert rows[2].findings == rows[3].findings == "No relevant information found"
+
+
+def test_team_size_follows_the_systems_involved(spark):
+    rows = [(1, name, f"{name}{i}", 1) for name in "ABCDEF" for i in range(2)]
+    rows += [(2, name, f"{name}{i}", 1) for name in "AB" for i in range(3)]
+    rows += [(2, name, "x", 5) for name in "CDE"] + [(3, "A", "a", 1)]
+    hits = spark.createDataFrame(
+        rows, "case_id BIGINT, specialty STRING, indicator STRING, hits BIGINT")
+    team = {}
+    for r in tr.select_sized_team(hits).orderBy("case_id", "pos").collect():
+        team.setdefault((r.case_id, r.systems), []).append(r.specialty)
+    assert team == {(1, 6): list("ABCDE"), (2, 2): list("AB"), (3, 0): ["A"]}
+    assert tr.select_sized_team(hits.limit(0)).collect() == []
