@@ -1,9 +1,9 @@
 """Lines repeated from earlier documents, found by aligning pairs of documents.
 
-Two documents overlap if they share a line of some length that few enough documents
-start with: every shared line links each later document to the first one that holds
-it, so the rarest and the most frequent line alike give one partner per document and
-never all pairs of its holders. Each pair is aligned line by line with patience diff;
+Two documents overlap if they share a shortest block: a line, or lines in a row, that
+together are just long enough to be deleted. Every shared block links each later
+document to the first one that holds it, so the rarest and the most frequent block
+alike give one partner per document and never all pairs of its holders. Each pair is aligned line by line with patience diff;
 common blocks are then deleted from the later document. Earlier documents count by
 doc_id, so the first copy of a line always stays.
 """
@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,10 @@ from quorate.functions.scale import broadcast_if_small
 from quorate.llm.common import whole_text, with_row
 from quorate.session import stored
 
-# Characters a line needs to make two documents partners, and a block to be deleted.
-LINE_CHARS = BLOCK_CHARS = 20
+# Characters a block of lines needs to make two documents partners and to be deleted.
+BLOCK_CHARS = 20
+# An odd number, so that it has an inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
 
 
 def _unique_matches(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
@@ -143,6 +146,50 @@ def repeated_lines(a: Sequence[int], b: Sequence[int], chars: Sequence[int],
     return sorted(found)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def block_keys(lines: np.ndarray, chars: np.ndarray, bounds: np.ndarray,
+               least: int = BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the shortest block of ``least`` characters from each non-empty line on.
+
+    ``bounds`` are the documents' first lines, with the end behind. Any block that
+    can be deleted begins, empty lines aside, with one of these. The hash is a
+    polynomial in the lines' hashes, so a block of one line has the line's own; equal
+    hashes only propose a pair, its lines are compared when it is aligned.
+
+    Returns the keys of all documents in order, and their bounds.
+    """
+    n = len(lines)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(lines.astype(np.int64).view(np.uint64) * _powers(BASE, n)[:n], out=sums[1:])
+    upto = np.zeros(n + 1, np.int64)
+    np.cumsum(chars, out=upto[1:])
+    end = np.searchsorted(upto, upto[:-1] + least)
+    whole = (np.asarray(chars) > 0) & (end <= np.repeat(bounds[1:], np.diff(bounds)))
+    back = _powers(pow(BASE, -1, 1 << 64), n)[:n]
+    keys = (sums[end[whole]] - sums[:-1][whole]) * back[whole]
+    kept = np.zeros(n + 1, np.int64)
+    np.cumsum(whole, out=kept[1:])
+    return keys.view(np.int64), kept[bounds]
+
+
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines, chars = batch.column("_lines"), batch.column("_chars")
+        bounds = lines.offsets.to_numpy().astype(np.int64)
+        keys, ends = block_keys(
+            lines.flatten().to_numpy(zero_copy_only=False),
+            chars.flatten().to_numpy(zero_copy_only=False), bounds - bounds[0])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.ListArray.from_arrays(ends.astype(np.int32), keys)],
+            names=[*batch.schema.names, "_keys"],
+        )
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """Documents with a number per row that tells repeated rows apart.
 
@@ -157,21 +204,17 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Gives (doc_id, _row, _lines, _chars) and (_row, removed, partners).
     """
     lines = F.transform(F.split(whole_text(), "\n"), lambda line: F.trim(line))
-    rows = stored(
-        docs.select(
-            "doc_id", "_row",
-            F.transform(lines, lambda line: F.xxhash64(line)).alias("_lines"),
-            F.transform(lines, lambda line: F.length(line)).alias("_chars"),
-        ),
-        "lines",
-    )
-    long = F.filter(
-        F.arrays_zip("_lines", "_chars"), lambda line: line["_chars"] >= LINE_CHARS
+    cut = docs.select(
+        "doc_id", "_row",
+        F.transform(lines, lambda line: F.xxhash64(line)).alias("_lines"),
+        F.transform(lines, lambda line: F.length(line)).alias("_chars"),
     )
-    telling = rows.select(
-        "doc_id", "_row", F.explode(F.array_distinct(F.transform(long, lambda x: x["_lines"])))
-        .alias("_line"),
+    fields = (
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _row bigint, "
+        "_lines array<bigint>, _chars array<int>, _keys array<bigint>"
     )
+    rows = stored(cut.mapInArrow(_with_keys, fields), "lines")
+    telling = rows.select("doc_id", "_row", F.explode(F.array_distinct("_keys")).alias("_line"))
     holders = stored(
         telling.groupBy("_line").agg(
             F.min(F.struct("doc_id", "_row")).alias("_first"), F.count(F.lit(1)).alias("_n")

@@ -146,6 +146,49 @@ def test_patience_aligns_what_plain_comparison_aligns():
     assert ld.patience(unique, [99, *unique[5:20], 98]) == [(k, k - 4) for k in range(5, 20)]
 
 
+def shortest_blocks(lines: list[str]) -> list[tuple]:
+    """From each non-empty line, the fewest lines that hold 20 characters together."""
+    out = []
+    for i, line in enumerate(lines):
+        for e in range(i + 1, len(lines) + 1):
+            if line and sum(map(len, lines[i:e])) >= 20:
+                out.append(tuple(lines[i:e]))
+                break
+    return out
+
+
+def test_block_keys_are_equal_where_blocks_are():
+    draw = random.Random(6)
+    words = ["", "a", "bb bb", "ccc ccc cc", "a line of more than twenty", "ok then"]
+    docs = [[draw.choice(words) for _ in range(draw.randrange(12))] for _ in range(200)]
+    flat = [line for doc in docs for line in doc]
+    bounds = np.cumsum([0, *map(len, docs)])
+    hashes = np.array([xxhash.xxh64_intdigest(line) for line in flat], np.uint64).view(np.int64)
+    keys, ends = ld.block_keys(hashes, np.array([len(line) for line in flat]), bounds)
+    want = [shortest_blocks(doc) for doc in docs]
+    assert np.diff(ends).tolist() == [len(own) for own in want]
+    named = list(zip([b for own in want for b in own], keys.tolist(), strict=True))
+    assert len(set(named)) == len({b for b, _ in named}) == len({k for _, k in named})
+    one = [k for b, k in named if b == ("a line of more than twenty",)]
+    assert set(one) == {hashes[flat.index("a line of more than twenty")]}
+    assert [len(x) for x in ld.block_keys(hashes[:0], hashes[:0], np.array([0, 0]))] == [0, 2]
+
+
+def test_blocks_of_short_lines_link_documents(spark):
+    """Verse and lists: no line has twenty characters, in 60 documents, nulls between."""
+    verse = [f"short verse {k}" for k in range(12)]
+    texts, want = [], []
+    for k in range(60):
+        own = [f"own {k}", f"line {k * 7}"]
+        texts += ["\n".join([*own, "", *verse, "", f"end {k}"]), None]
+        want += [list(range(2, 16)) if k else [], []]
+    got = {r.doc_id: r.removed for r in ld.line_dedup(documents(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    swapped = ["x\n" + "\n".join(verse[:2]), "\n".join([*verse[:2], "y"]), "a line\nnew", "a line"]
+    got = {r.doc_id: r.removed for r in ld.line_dedup(documents(spark, swapped)).collect()}
+    assert got == {0: [], 1: [0, 1], 2: [], 3: []}
+
+
 def test_line_dedup_against_brute_force(spark):
     lines = [prose(k, 6) for k in range(60)] + ["", "ok", "  "]
     draw = random.Random(4)
@@ -154,14 +197,14 @@ def test_line_dedup_against_brute_force(spark):
     docs = documents(spark, texts, removed="clash", _row=3, partners=0)
     got = {r.doc_id: r for r in ld.line_dedup(docs).collect()}
     split = [[line.strip(" ") for line in (t or "").split("\n")] for t in texts]
-    first: dict[str, int] = {}
-    for k, own in enumerate(split):
-        for line in own:
-            if len(line) >= ld.LINE_CHARS:
-                first.setdefault(line, k)
+    blocks = [shortest_blocks(own) for own in split]
+    first: dict[tuple, int] = {}
+    for k, own in enumerate(blocks):
+        for block in own:
+            first.setdefault(block, k)
     for k, own in enumerate(split):
         gone, partners = set(), set()
-        for a in {first[x] for x in own if x in first} - {k}:
+        for a in {first[x] for x in blocks[k]} - {k}:
             found = ld.repeated_lines(split[a], own, [len(x) for x in own])
             gone.update(found)
             partners.update([a] if found else [])
