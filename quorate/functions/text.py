@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quorate.fixed_values import SPECIALIST_PREFIX
 
 WORD = r"[\p{L}\p{N}]+"
+GAP = r"[^\p{L}\p{N}]+"
 BLANKS = r"[ \t\n\r\f]+"
 SENTENCE_END = r"[.!?][ \t\n\r\f]|\n"
 # A word, an optional ':' / '=' / 'is' / 'of', then a number: "eGFR 45", "dose: 2.5".
@@ -39,6 +40,11 @@ def word_line(text: Column) -> Column:
     return F.array_join(words(text), " ")
 
 
+def edged_line(text: Column) -> Column:
+    """The words of a text with one space before, between and behind them."""
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), GAP, " ")
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of ``n`` neighbouring tokens, joined by a space."""
     if n == 1:

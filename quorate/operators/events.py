@@ -103,45 +103,64 @@ def stages_from_registers(registers: DataFrame) -> DataFrame:
 
     A spawn replaces all cards. A card then keeps its last summary when done
     and its last data when thinking again; the other stages reset both.
+
+    Registers are read once: each says what it knows of one stage or card, the last
+    spawn of every card it lists, and one mergeable aggregate puts that together.
+    Events of agents that the spawn does not list, or without a name, make no card.
     """
-    thinking = F.col("type").endswith("_thinking")
-    default = F.when(F.col("slot") == "triage", _message(F.col("value"), "triage")).when(
-        F.col("slot") == "judge", _message(F.col("value"), "judge")
-    ).otherwise(_message(F.col("value"), "safety"))
-    stages = registers.where(F.col("slot").isin("triage", "judge", "safety")).select(
-        "case_id", F.col("slot").alias("stage"),
-        F.lit(None).cast("string").alias("specialty"),
-        F.when(thinking, "thinking").otherwise("done").alias("status"),
-        F.when(thinking, default).otherwise("").alias("summary"),
-        F.when(~thinking, F.col("value")).alias("data"),
-    )
-    cards = (
-        registers.where(F.col("slot") == "spawn")
-        .select("case_id", F.col("seq").alias("spawned"),
-                F.posexplode(F.from_json("value", EVENT_PAYLOAD)["specialties"])
-                .alias("pos", "specialty"))
-        .groupBy("case_id", card_key(F.col("specialty")).alias("agent"))
-        .agg(F.max_by("specialty", "pos").alias("specialty"), F.max("spawned").alias("spawned"))
+    spawns, value = F.col("slot") == "spawn", F.col("value")
+    listed = F.when(spawns, F.from_json("value", EVENT_PAYLOAD)["specialties"])
+    about = F.when(
+        spawns, F.transform(listed, lambda name, pos: F.struct(
+            F.lit(False).alias("own"), card_key(name).alias("stage"),
+            name.alias("specialty"), pos.alias("pos")))
+    ).when(
+        F.col("slot").isin("triage", "judge", "safety"), F.array(_about(True, F.col("slot")))
+    ).when(
+        F.col("slot").isin("agent_thinking", "agent_done") & F.col("agent").isNotNull(),
+        F.array(_about(False, F.col("agent"))),
     )
-    touched = (
-        registers.where(F.col("slot").isin("agent_thinking", "agent_done"))
-        .groupBy("case_id", "agent")
-        .agg(*[
-            F.max(F.when(F.col("slot") == f"agent_{kind}", F.col(field))).alias(f"{kind}_{field}")
-            for kind in ("thinking", "done") for field in ("seq", "value")
-        ])
+    known = registers.select(
+        "case_id", "slot", "seq", "type",
+        F.when(~spawns, value).alias("value"), F.explode(about).alias("a"),
+    ).select("case_id", "a.*", "slot", "seq", "type", "value")
+
+    def of(slot: str, field: Column | str) -> Column:
+        return F.max(F.when(F.col("slot") == slot, field))
+
+    folded = known.groupBy("case_id", "own", "stage").agg(
+        F.max_by("specialty", "pos").alias("specialty"),
+        of("spawn", F.col("seq")).alias("spawned"),
+        *[of(f"agent_{kind}", F.col(field)).alias(f"{kind}_{field}")
+          for kind in ("thinking", "done") for field in ("seq", "value")],
+        F.max(F.when(F.col("own"), F.struct("type", "value"))).alias("last"),
     )
     began = F.coalesce(F.col("thinking_seq") > F.col("spawned"), F.lit(False))
     ended = F.coalesce(F.col("done_seq") > F.col("spawned"), F.lit(False))
     done_last = ended & (~began | (F.col("done_seq") > F.col("thinking_seq")))
-    specialists = cards.join(touched, ["case_id", "agent"], "left").select(
-        "case_id", F.col("agent").alias("stage"), "specialty",
-        F.when(done_last, "done").when(began, "thinking").otherwise("idle").alias("status"),
-        F.when(began, _message(F.col("thinking_value"), "specialist")).otherwise("")
-        .alias("summary"),
-        F.when(ended, F.col("done_value")).alias("data"),
+    # Of a stage the last event alone counts.
+    own, thinking = F.col("own"), F.col("last.type").endswith("_thinking")
+    default = F.when(F.col("stage") == "triage", _message(F.col("last.value"), "triage")).when(
+        F.col("stage") == "judge", _message(F.col("last.value"), "judge")
+    ).otherwise(_message(F.col("last.value"), "safety"))
+    return folded.where(own | F.col("spawned").isNotNull()).select(
+        "case_id", "stage", "specialty",
+        F.when(own, F.when(thinking, "thinking").otherwise("done"))
+        .when(done_last, "done").when(began, "thinking").otherwise("idle").alias("status"),
+        F.when(own & thinking, default)
+        .when(~own & began, _message(F.col("thinking_value"), "specialist"))
+        .otherwise("").alias("summary"),
+        F.when(own, F.when(~thinking, F.col("last.value")))
+        .when(ended, F.col("done_value")).alias("data"),
+    )
+
+
+def _about(own: bool, stage: Column) -> Column:
+    """What a register that is no spawn is about: a stage of its own, or a card."""
+    return F.struct(
+        F.lit(own).alias("own"), stage.alias("stage"),
+        F.lit(None).cast("string").alias("specialty"), F.lit(None).cast("int").alias("pos"),
     )
-    return stages.unionByName(specialists)
 
 
 def cases_from_registers(registers: DataFrame) -> DataFrame:
