@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorate.session import configure
+from quorate.session import configure, stored
 
 # Python workers get whole texts, so a batch is bounded by rows and by bytes.
 BATCH_SETTINGS = {
@@ -61,6 +61,20 @@ def long_keys(keys: Iterable[str], most: int = 64) -> list[str]:
     return [key for key in keys if len(key) > most]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Every row as ``_doc``, with its text and a number of its own in place of doc_id.
+
+    The rows are stored once with their numbers, so a later scan, also one that a lost
+    executor causes, finds the same ones. Decisions on numbers are decisions on rows,
+    whatever ids are null or repeated.
+    """
+    rows = stored(docs.select(
+        F.monotonically_increasing_id().alias("doc_id"),
+        F.struct(*docs.columns).alias("_doc"),
+    ), "numbered-rows")
+    return rows.select("doc_id", F.col("_doc.text").alias("text"), "_doc")
+
+
 def with_row(docs: DataFrame, *columns: str) -> DataFrame:
     """Some columns, and the whole row as ``_doc``, so no name in it can clash."""
     return docs.select(*columns, F.struct(*docs.columns).alias("_doc"))

@@ -144,9 +144,12 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark passage, with all their columns.
 
-    Rows that repeat a doc_id go together; a row without id stays.
+    Every row is judged by its own text, named by a 128-bit digest: null and repeated
+    ids make no difference, and equal texts stay or go together.
     """
-    gone = stored(
-        benchmark_overlaps(docs, benchmark).select("doc_id").distinct(), "contaminated"
+    digest = F.md5(whole_text())
+    texts = docs.select(digest.alias("doc_id"), "text")
+    gone = broadcast_if_small(
+        stored(benchmark_overlaps(texts, benchmark).select("doc_id").distinct(), "contaminated")
     )
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, digest == gone["doc_id"], "left_anti")

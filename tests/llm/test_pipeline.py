@@ -8,8 +8,8 @@ from quorate.llm import simhash as sh
 from quorate.session import scratch_path
 
 from .helpers import ODD_TEXTS, documents, prose
-from .test_dedup import linked, plain_fingerprint
 from .test_selection import brute_overlaps
+from .test_shingles import survivors
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -22,6 +22,8 @@ def folder(spark):
     texts += [f"{t} snotwad" for t in texts[100:160]]
     texts += [f"{prose(k, 20)} {item}" for k, item in enumerate(items)]
     texts += [prose(5, 60)] * 10
+    # One word more: alike at 0.8.
+    texts += [prose(k, 60) + " " + prose(k + 500, 1) for k in range(20, 24)]
     path = scratch_path(spark, "folder")
     documents(spark, texts, extra="kept").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(
@@ -45,8 +47,7 @@ def test_stages_against_brute_force(spark, folder):
         kept[name] = sorted(r.doc_id for r in docs.select("doc_id").collect())
     clean = [k for k, t in enumerate(texts) if "snotwad" not in (t or "")]
     assert kept["toxicity"] == clean
-    roots = linked([plain_fingerprint(texts[k] or "") for k in clean])
-    single = [clean[i] for i, root in enumerate(roots) if i == root]
+    single = [clean[i] for i in survivors([texts[k] for k in clean])]
     assert kept["simhash_near_dedup"] == single
     leaks = {d for d, _ in brute_overlaps([texts[k] or "" for k in single], items)}
     assert kept["decontamination"] == [k for i, k in enumerate(single) if i not in leaks]

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quorate.llm import decontaminate as dc
 from quorate.llm import mixing as mx
@@ -68,8 +69,13 @@ def test_overlaps_of_odd_rows(spark):
     got = dc.benchmark_overlaps(docs, bench).collect()
     assert sorted((r.doc_id or -1, r.item_id, r.matched_tokens) for r in got) == [
         (-1, 1, 30), (50, 1, 30), (60, 1, 30)]
-    left = dc.decontaminated(docs, bench)
-    assert left.columns == docs.columns and left.count() == len(ODD_TEXTS) + 1
+    clean = documents(spark, ["a clean row that shares an id"], [50])
+    whole = docs.unionByName(clean).withColumn("_digest", F.lit(1))
+    left = dc.decontaminated(whole, bench)
+    assert left.columns == whole.columns
+    # The contaminated row without id goes, the clean one with a contaminated row's id stays.
+    assert sorted(r.doc_id for r in left.select("doc_id").collect()) == [
+        *range(len(ODD_TEXTS)), 50]
     assert dc.benchmark_overlaps(docs, bench.limit(0)).count() == 0
     assert dc.benchmark_overlaps(docs.limit(0), bench).count() == 0
 

@@ -65,11 +65,13 @@ def test_stage_drops_all_pairs_at_four_fifths(spark, texts):
 
 
 def test_ids_and_empty_tables(spark):
-    docs = documents(spark, ["a b", "a b", "a b", "other words here", None, ""],
-                     [3, 1, None, 9, 4, 5])
-    kept = sg.one_of_similar(docs).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [
-        (False, 1), (False, 4), (False, 9), (True, 0)]
+    texts = ["a b", "a b", "a b", "other words here", None, "", "c d", "c d", "e f", "e f", "g h"]
+    docs = documents(spark, texts, [3, 1, None, 9, 4, 5, None, None, 6, 6, 3], doc="x", _doc=1)
+    kept = sg.one_of_similar(docs)
+    assert kept.columns == docs.columns
+    # Of each text one row stays, with or without an id, whatever other rows share the id.
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept.collect()) == [
+        (0, "c d"), (1, "a b"), (3, "g h"), (4, ""), (6, "e f"), (9, "other words here")]
     assert sg.one_of_similar(documents(spark, [])).count() == 0
 
 
