@@ -457,11 +457,18 @@ _FACT_PANELS = "WITH " + _NUMBERED.format(source="""(
 lead AS (SELECT case_id, specialty AS lead FROM panels WHERE pos = 0),"""
 
 
-def _stalled(now: str = "") -> str:
+_UP = f"seq + {STALL_SECONDS}000000 <= (SELECT max(epoch_us(ts)) FROM events)"
+# A watermark is kept in whole milliseconds. It trails the log's last event, of whatever
+# type, by the stream's hour of lateness, and has to reach the deadline.
+_UP_STREAMED = (f"(seq + {STALL_SECONDS}000000 + 999) // 1000 <= "
+                "(SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events)")
+
+
+def _stalled(is_up: str = _UP) -> str:
     return "WITH " + _NEXT_DONE + f"""
 SELECT case_id, 'specialist' AS stage, agent AS agent_name, seq FROM waits
 WHERE et = 'view' AND (done_seq IS NULL OR done_seq - seq > {STALL_SECONDS}000000)
-  AND seq + {STALL_SECONDS}000000 <= (SELECT max(epoch_us(ts)){now} FROM events)"""
+  AND {is_up}"""
 
 
 ORACLE: dict[str, str] = {
@@ -755,8 +762,7 @@ FROM ranked, (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) AS f(q) WHERE r >= ceil(q *
     "h6_barrier_large_streamed": _BARRIER.replace("k % 3 + 1", f"k % {LARGE_PANEL} + 1"),
 
     "h7_stalled": _stalled(),
-    # The watermark trails the last event by the stream's hour of lateness.
-    "h7_stalled_streamed": _stalled(" - 3600000000"),
+    "h7_stalled_streamed": _stalled(_UP_STREAMED),
 
     "h8_failures": """
 WITH e AS (

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quorate import fixed_values as fixed
 from quorate.functions.confidence import clamp, number_from_text
+from quorate.functions.scale import computed_once
 from quorate.operators.agreement import agreement_level, score_moments
 from quorate.operators.events import (
     DRAFT_PART, draft_parts, latest_registers, register_writes, rounded_scores,
@@ -306,14 +307,21 @@ class TimeoutWatch(StatefulProcessor):
 def stream_stalled_agents(events: DataFrame,
                           timeout: int = fixed.REQUEST_TIMEOUT_SECONDS,
                           delay: str = "10 minutes") -> DataFrame:
-    """A stream of stalled thinking events; ``delay`` bounds late arrival."""
+    """A stream of stalled thinking events; ``delay`` bounds late arrival.
+
+    The time of an event is up when the watermark, in whole milliseconds, reaches its
+    deadline: ``delay`` behind the latest event of the stream, of whatever type.
+    """
+    # Every event moves the watermark. Spark would push plain filters below it.
     staged = (
-        events.withWatermark("ts", delay)
-        .withColumn("stage", F.substring_index("type", "_", 1))
+        computed_once(
+            events.withWatermark("ts", delay),
+            stage=F.substring_index("type", "_", 1), step=F.substring_index("type", "_", -1),
+        )
         .where(F.col("stage").isin("triage", "specialist", "judge", "safety"))
-        .where(F.col("type").endswith("_thinking") | F.col("type").endswith("_done"))
+        .where(F.col("step").isin("thinking", "done"))
         .select("case_id", "stage", "agent_name", "seq", "ts",
-                F.unix_micros("ts").alias("us"), F.col("type").endswith("_done").alias("is_done"))
+                F.unix_micros("ts").alias("us"), (F.col("step") == "done").alias("is_done"))
     )
     return staged.groupBy("case_id", "stage", "agent_name").transformWithStateInPandas(
         TimeoutWatch(timeout * 1000), _STALLED, "append", "eventTime"

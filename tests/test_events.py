@@ -246,6 +246,19 @@ def test_streamed_stalls_equal_batch(spark, tmp_path):
     assert sorted(got.select(*pick).collect()) == sorted(expected.collect())
 
 
+@pytest.mark.parametrize("after, stalled", [(59_999, []), (60_000, [0]), (60_500, [0])])
+def test_every_event_moves_the_watermark_of_the_stalls(spark, tmp_path, after, stalled):
+    """An error, no event of an agent, is the last of the log: the time is up with it."""
+    rows = [(1, 0, START, "judge_thinking", "j", "{}"),
+            (1, 1, START + timedelta(seconds=10), "judge_thinking", "j", "{}"),
+            (2, 2, START + timedelta(milliseconds=after), "error", "", "{}")]
+    df = spark.createDataFrame(rows, EVENTS)
+    got = drained(spark, df, tmp_path, lambda path: folds.stream_stalled_agents(
+        stream_events(spark, path, "parquet")[0], 60, "0 seconds"))
+    assert [r.seq for r in got.collect()] == stalled
+    assert [r.seq for r in ev.stalled_agents(df, 60, 10).collect()] == stalled
+
+
 def test_waiting_events_equal_brute_force():
     rng = random.Random(5)
     for _ in range(300):
