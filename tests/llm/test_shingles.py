@@ -64,6 +64,19 @@ def test_stage_drops_all_pairs_at_four_fifths(spark, texts):
     assert set(got) < {r.doc_id for r in sh.one_of_each(docs).select("doc_id").collect()}
 
 
+def test_stage_goes_by_simhash_as_well(spark):
+    """Close fingerprints over shingle sets that are less than 0.8 alike."""
+    words = prose(5, 41).split()
+    base = words * 100
+    other = base + prose(6, 20).split()
+    texts = [" ".join(base), " ".join(other), prose(7, 100)]
+    one, two = plain_set(texts[0]), plain_set(texts[1])
+    assert 5 * len(one & two) < 4 * len(one | two)
+    assert (sh.fingerprint(texts[0]) ^ sh.fingerprint(texts[1])).bit_count() <= sh.THRESHOLD
+    kept = cp.drop_near_duplicates(spark, documents(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, 2]
+
+
 def test_ids_and_empty_tables(spark):
     texts = ["a b", "a b", "a b", "other words here", None, "", "c d", "c d", "e f", "e f", "g h"]
     docs = documents(spark, texts, [3, 1, None, 9, 4, 5, None, None, 6, 6, 3], doc="x", _doc=1)
