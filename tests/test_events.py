@@ -180,6 +180,21 @@ def test_events_without_an_agent_are_waited_for_like_others(spark):
     assert {r.agent_name for r in stalled} == {None, "judge_agent"}
 
 
+def test_tokens_are_left_out_before_their_payload_is_looked_at(spark):
+    events = log(spark, ("agent_stream", "a", {"token": "x"}), ("judge_thinking", "j", {}),
+                 spawn("A"), case_id=1).unionByName(
+        log(spark, ("judge_thinking", "j", {}), case_id=2)).unionByName(
+        log(spark, ("agent_stream", "a", {"token": "x"}), case_id=3))
+    plan = ev.register_writes(events)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Generate explode", 1)[1]
+    assert "Filter" in below and "pipeline_complete" in below.split("Filter", 1)[1]
+    # A case without a register of its own is a case all the same.
+    got = {r.case_id: (r.spawned, r.complete) for r in ev.case_status(events).collect()}
+    assert got == {1: (True, False), 2: (False, False)}
+    assert {(r.case_id, r.stage) for r in ev.stage_status(events).collect()} == {
+        (1, "judge"), (1, "specialist_a"), (2, "judge")}
+
+
 # --- streams: what comes out equals the batch, also after a restart -------------
 
 def random_log(spark, cases=6, per_case=40):
