@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quorate.operators import contracts as ct
 
@@ -128,3 +129,35 @@ def test_safety_contract(spark):
     assert [r.status for r in rows] == ["valid", "invalid", "valid"]
     assert rows[0].is_safe is False and rows[2].is_safe is True
     assert rows[0].flagged_issues[0].specialist == "Endocrinology"
+
+
+@pytest.mark.parametrize("contract", sorted(ct.CONTRACTS))
+def test_answers_are_parsed_by_projections_not_inside_a_generator(spark, contract):
+    df = spark.range(3).select(F.col("id").alias("case_id"), F.lit("{}").alias("raw"))
+    df = df.withColumn("raw", F.concat("raw", F.lit(" ")))
+    lines = ct.parse_responses(df, contract)._jdf.queryExecution().optimizedPlan().toString()
+    generators = [line for line in lines.splitlines() if "Generate" in line]
+    assert generators and not any("variant" in line or "json(" in line for line in generators)
+
+
+@pytest.mark.parametrize("number, value", [
+    ("0.25", 0.25), ("1", 1.0), ("0", 0.0), ("-0.5", 0.0), ("2.5e-1", 0.25), ("1e400", 1.0),
+    ("0.1000000000000000055511151231257827", 0.1), ("123456789012345678901234567890", 1.0),
+])
+def test_numbers_of_every_width(spark, number, value):
+    text = changed(confidence=7).replace("7", number)
+    (r,) = parse(spark, [text])
+    assert r.status == "valid"
+    df = spark.createDataFrame([(0, text)], "case_id BIGINT, raw STRING")
+    assert ct.answered_opinions(df).first().confidence == value
+
+
+@pytest.mark.parametrize("flag, value", [
+    ("true", True), ("false", False), ("1", True), ("0", False), ("1.0", True), ("0.0", False),
+    ("1e0", True), ("2", None), ('" Yes "', True), ('"OFF"', False), ('"maybe"', None),
+    ("null", None), ("[true]", None), ('"1"', True),
+])
+def test_flags(spark, flag, value):
+    text = '{"is_safe": ' + flag + "}"
+    (r,) = parse(spark, [text], "safety")
+    assert r.is_safe is value
