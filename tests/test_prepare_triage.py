@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quorate.functions.text import ngrams, words
 from quorate.operators import prepare as pr
 from quorate.operators import review as rv
 from quorate.operators import triage as tr
@@ -237,3 +238,33 @@ def test_team_size_follows_the_systems_involved(spark):
         team.setdefault((r.case_id, r.systems), []).append(r.specialty)
     assert team == {(1, 6): list("ABCDE"), (2, 2): list("AB"), (3, 0): ["A"]}
     assert tr.select_sized_team(hits.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_hits_are_every_run_of_words_with_a_map_of_any_size(spark, monkeypatch, few):
+    monkeypatch.setattr(tr, "FEW_TERMS", few)
+    text = "A a a b. b a; c? A A b b c c c, a"
+    rows = [("S", "a", "High"), ("S", "a a", "High"), ("S", "A-b", "High"), ("T", "c c c", "Low"),
+            ("T", "a b b c", "Low"), ("T", "c a", "Low"), ("T", "a z", "Low"), ("T", "b", "Low")]
+    roles = spark.createDataFrame(rows, "specialty STRING, indicator STRING, lead_potential STRING")
+    docs = spark.createDataFrame(
+        [(1, 0, text), (2, 0, "a"), (3, 0, ""), (4, 0, None)], "case_id BIGINT, pos INT, text STRING")
+    tokens = {1: "a a a b b a c a a b b c c c a".split(), 2: ["a"]}
+    expected = {}
+    for case_id, said in tokens.items():
+        for specialty, indicator, _ in rows:
+            term = indicator.lower().replace("-", " ").split()
+            hits = sum(said[i:i + len(term)] == term for i in range(len(said)))
+            if hits:
+                expected[(case_id, specialty, indicator)] = hits
+    found = tr.match_indicators(docs, roles)
+    assert {(r.case_id, r.specialty, r.indicator): r.hits for r in found.collect()} == expected
+
+
+def test_word_runs_are_not_cut_by_copies_of_the_whole_text(spark):
+    docs = spark.createDataFrame([(1, 0, "a b c")], "case_id BIGINT, pos INT, text STRING")
+    found = tr.match_indicators(docs, roles(spark))
+    assert "slice(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    runs = docs.select(ngrams(words(F.col("text")), 2).alias("runs"))
+    assert "slice(" not in runs._jdf.queryExecution().optimizedPlan().toString()
+    assert runs.first().runs == ["a b", "b c"]
