@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from quorate.plans import bindings as b
 from quorate.operators.events import emit_trace, tokens_of
 from quorate.plans.assess import assess
 from quorate.schemas import CASES
@@ -228,3 +229,9 @@ def test_a_text_is_cut_into_tokens_without_loss(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t STRING")
     got = df.select("t", tokens_of(F.col("t")).alias("k")).collect()
     assert all("".join(r.k) == (r.t or "") for r in got)
+
+
+def test_seats_are_numbered_before_answers_are_written_out(spark):
+    plan = b.seats(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Window", 1)
+    assert "No JSON from" in above and "No JSON from" not in below
