@@ -347,3 +347,19 @@ def test_unknown_types_are_set_aside(spark, tmp_path):
                  str(tmp_path / label)).awaitTermination()
     assert [r.type for r in seen["known"]] == ["judge_done"]
     assert sorted(str(r.type) for r in seen["rejected"]) == ["None", "made_up"]
+
+
+def test_trace_fields_are_read_from_each_payload_once(spark):
+    from quorate.plans.queries import _trace_fields
+    rows = [(1, 0, "triage_done", "a", '{"lead_specialist": "S", "message": "m", "x": [1]}'),
+            (1, 1, "specialists_spawned", "b", '{"count": 3, "lead_specialist": ""}'),
+            (1, 2, "specialist_done", "c", '{"findings": "f \\"q\\" ü", "message": null}'),
+            (1, 3, "pipeline_complete", "", '{"consensus": {"message": "no"}}')]
+    log = spark.createDataFrame(
+        rows, "case_id BIGINT, seq BIGINT, type STRING, agent_name STRING, data STRING")
+    told = _trace_fields(log)
+    assert [tuple(r)[4:] for r in told.orderBy("seq").collect()] == [
+        ("S", "m", None, None), ("", None, "3", None), (None, None, None, 'f "q" ü'),
+        (None, None, None, None)]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("from_json") == 1
