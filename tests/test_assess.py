@@ -224,6 +224,15 @@ def test_streamed_tokens_of_a_trace_join_to_the_answers(spark):
         map(str, whole.where("type <> 'agent_stream'").drop("seq").collect()))
 
 
+def test_tokens_get_their_json_outside_the_list(spark):
+    """In the list it would be written for tokens that a reader filters out, too."""
+    done = assess(cases(spark), src.default_indicator_map(spark))
+    trace = emit_trace(done.assessments, streamed=True).where("type <> 'agent_stream'")
+    plan = trace._jdf.queryExecution().optimizedPlan().toString()
+    (log,) = [line for line in plan.splitlines() if "Generate" in line and "agent_stream" in line]
+    assert "token," not in log
+
+
 def test_a_text_is_cut_into_tokens_without_loss(spark):
     texts = ["", "  a  b", "one", "a\nb \t c ", " \n ", None, "é 中 x"]
     df = spark.createDataFrame([(t,) for t in texts], "t STRING")
