@@ -49,6 +49,9 @@ def _candidates(seq: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray,
         size = np.bincount(ranks, minlength=n)[ranks[at]]
         at, size = at[size > 1], size[size > 1]
         found.append((at, ranks[at], ranks[at] + size, np.full(len(at), length)))
+    if not found:
+        # No item occurs twice, so no factor of two or more was ranked.
+        return order[:0], order[:0], order[:0]
     at, low, high, length = (np.concatenate(part) for part in zip(*found, strict=True))
     if not len(at):
         return at, at, at

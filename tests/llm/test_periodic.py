@@ -130,3 +130,13 @@ def test_very_long_texts_and_small_groups(spark, monkeypatch):
 def test_empty_table(spark):
     assert periodic.periodic_runs(documents(spark, [])).count() == 0
     assert periodic.run_digest(periodic.periodic_runs(documents(spark, []))).count() == 0
+
+
+def test_texts_without_any_repeated_word_have_no_run(spark):
+    alone = [f"w{i}".encode() for i in range(9)]
+    assert periodic.runs_of_texts([alone]) == [[]]
+    assert periodic.runs_of_texts([alone[:5], [b"x"] * 6]) == [[], [(0, 6, 1)]]
+    prepared(spark)
+    docs = documents(spark, ["one two three four five six seven"]).coalesce(1)
+    row = periodic.periodic_runs(docs).first()
+    assert (row.n_words, row.runs, row.collapsed) == (7, [], "one two three four five six seven")
