@@ -1,11 +1,11 @@
 """Conversations as training text, proven by a round trip through a parser.
 
-Every turn is rendered between control strings. A deterministic parser reads the
-result back; if it does not give the turn again, the control strings in its content
-are escaped and it is rendered anew, until it does. All of that happens where the row
-is read. Turns are then dealt out by (conversation, turn) ranges, so a very long
-conversation is shared by several tasks, and joined to pieces of about a million
-characters. A piece holds whole turns of one conversation and can be parsed alone.
+Turns are dealt out by (conversation, turn) ranges as they are read, so a very long
+conversation is shared by several tasks. Every turn is then rendered between control
+strings. A deterministic parser reads the result back; if it does not give the turn
+again, the control strings in its content are escaped and it is rendered anew, until it
+does. Turns are joined to pieces of about a million characters. A piece holds whole
+turns of one conversation and can be parsed alone.
 
     system     <<SYS>> text <</SYS>>
     user       [INST] text [/INST]
@@ -35,13 +35,21 @@ FRAMES = {"system": ("<<SYS>> ", " <</SYS>>\n"), "user": ("[INST] ", " [/INST]\n
 _ANY = "|".join(map(re.escape, CONTROLS))
 CONTENT = re.compile(rf"(\\*)({_ANY})")
 ESCAPED = re.compile(rf"\\(\\*(?:{_ANY}))")
-BARE = re.compile(rf"(?<!\\)(?:{_ANY})")
+# The look behind comes last: a search that starts with letters skips what cannot start one.
+BARE = re.compile("|".join(rf"{c}(?<!\\{c})" for c in map(re.escape, CONTROLS)))
 # A piece is closed once it has so many characters.
 PIECE_CHARS = 1 << 20
 # A null role is written under this name and recovered as it.
 NO_ROLE = ""
 
-PIECES = "conv_id bigint, part int, piece int, formatted string, mask array<array<bigint>>"
+PIECES = pa.schema([
+    ("conv_id", pa.int64()), ("part", pa.int32()), ("piece", pa.int32()),
+    ("formatted", pa.string()), ("mask", pa.list_(pa.list_(pa.int64()))),
+])
+DIGESTS = pa.schema([
+    ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
+    ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()),
+])
 
 
 def escaped(text: str) -> str:
@@ -124,6 +132,34 @@ def rendered(role: str, text: str) -> tuple[str, int, int]:
     raise ParseError(f"a turn of role {role!r} does not survive the round trip")
 
 
+def all_rendered(turns: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
+    """``rendered`` of every (role, text), read back together where none is escaped.
+
+    Turns that come back all the same each survive alone: a parse goes from left to
+    right, so the first turn of a wrong end comes back as another one. Turns that do not
+    are tried again in halves.
+    """
+    plain = [framed(role, text) for role, text in turns]
+    try:
+        back = parsed("".join(out for out, _, _ in plain))
+    except ParseError:
+        back = []
+    if [(role, text) for role, text, _, _ in back] == turns:
+        return plain
+    if len(turns) == 1:
+        return [rendered(*turns[0])]
+    half = len(turns) // 2
+    return all_rendered(turns[:half]) + all_rendered(turns[half:])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), schema.types,
+                                                        strict=True)],
+        schema=schema,
+    )
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """Conversations as pieces of rendered text with the spans that carry loss.
 
@@ -137,58 +173,42 @@ def format_chats(turns: DataFrame) -> DataFrame:
     piece, in characters, escapes included.
     """
 
-    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [
-                rendered(role, text) for role, text in
-                zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ]
-            loss = [role == "assistant" for role in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([m[0] for m in made], pa.string()),
-                 pa.array([m[1] if own else -1 for m, own in zip(made, loss, strict=True)],
-                          pa.int64()),
-                 pa.array([m[2] if own else -1 for m, own in zip(made, loss, strict=True)],
-                          pa.int64())],
-                names=["conv_id", "turn", "role", "text", "out", "first", "last"],
-            )
-
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        at, number = TaskContext.get().partitionId(), 0
         parts: list[str] = []
         mask: list[list[int]] = []
         held, now, began = 0, None, False
-
-        def piece() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int64()), pa.array([part], pa.int32()),
-                 pa.array([number], pa.int32()), pa.array(["".join(parts)]),
-                 pa.array([mask], pa.list_(pa.list_(pa.int64())))],
-                names=["conv_id", "part", "piece", "formatted", "mask"],
-            )
+        pieces: list[tuple] = []
+        chars = 0
 
         for batch in batches:
-            for conv, out, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            convs, roles, texts = (c.to_pylist() for c in batch.columns)
+            made = all_rendered(list(zip(roles, texts, strict=True)))
+            for conv, role, (out, first, last) in zip(convs, roles, made, strict=True):
                 if began and (conv != now or held >= PIECE_CHARS):
-                    yield piece()
+                    pieces.append((now, at, number, "".join(parts), mask))
+                    chars += held
                     parts, mask, held, number = [], [], 0, number + 1
+                    # Short pieces go together, a batch each would cost more than they do.
+                    if chars >= PIECE_CHARS:
+                        yield _rows(pieces, PIECES)
+                        pieces, chars = [], 0
                 now, began = conv, True
-                if first >= 0:
+                if role == "assistant":
                     mask.append([held + first, held + last])
                 parts.append(out)
                 held += len(out)
         if began:
-            yield piece()
+            yield _rows([*pieces, (now, at, number, "".join(parts), mask)], PIECES)
 
     return (
         turns.select("conv_id", "turn", F.coalesce("role", F.lit(NO_ROLE)).alias("role"),
                      whole_text().alias("text"))
-        .mapInArrow(render, "conv_id bigint, turn bigint, role string, text string, out string, "
-                            "first bigint, last bigint")
         .repartitionByRange("conv_id", "turn", "role")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
-        .select("conv_id", "out", "first", "last")
-        .mapInArrow(join, PIECES)
+        .select("conv_id", "role", "text")
+        .mapInArrow(join, "conv_id bigint, part int, piece int, formatted string, "
+                          "mask array<array<bigint>>")
     )
 
 
@@ -205,20 +225,15 @@ def chat_digests(pieces: DataFrame) -> DataFrame:
         turns = loss = hashlib.sha256()
         n = loss_chars = chars = 0
 
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int64()), pa.array([n], pa.int64()),
-                 pa.array([turns.hexdigest()]), pa.array([loss_chars], pa.int64()),
-                 pa.array([loss.hexdigest()]), pa.array([chars], pa.int64())],
-                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
-                       "formatted_chars"],
-            )
+        def row() -> tuple:
+            return now, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars
 
         for batch in batches:
+            done: list[tuple] = []
             for conv, text, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not began or conv != now:
                     if began:
-                        yield row()
+                        done.append(row())
                     now, began = conv, True
                     turns, loss = hashlib.sha256(), hashlib.sha256()
                     n = loss_chars = chars = 0
@@ -230,8 +245,10 @@ def chat_digests(pieces: DataFrame) -> DataFrame:
                     loss.update(own.encode())
                     loss_chars += len(own)
                 chars += len(text)
+            if done:
+                yield _rows(done, DIGESTS)
         if began:
-            yield row()
+            yield _rows([row()], DIGESTS)
 
     return (
         pieces.repartition("conv_id").sortWithinPartitions("conv_id", "part", "piece")
