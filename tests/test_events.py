@@ -363,3 +363,23 @@ def test_trace_fields_are_read_from_each_payload_once(spark):
         (None, None, None, None)]
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     assert "get_json_object" not in plan and plan.count("from_json") == 1
+
+
+def test_stalls_of_many_agents_share_few_states(spark, tmp_path, monkeypatch):
+    """Agents of one shard, some of them without a case or a name, do not mix."""
+    monkeypatch.setattr(folds, "SHARDS", 2)
+    big = 2**60 + 1
+    rows = [(case, 10 * k, START + timedelta(seconds=k % 7), "judge_thinking", name, "{}")
+            for k, (case, name) in enumerate([(1, "a"), (1, "b"), (1, None), (None, "a"), (big, "a"),
+                                              (big + 1, "a")])]
+    rows += [(1, 1000, START + timedelta(seconds=9), "judge_done", "b", "{}"),
+             (big, 1001, START + timedelta(seconds=9), "judge_done", "a", "{}"),
+             (9, 2000, START + timedelta(seconds=500), "error", "", "{}")]
+    df = spark.createDataFrame(rows, EVENTS)
+    stream = []
+    got = drained(spark, df, tmp_path, lambda path: stream.append(folds.stream_stalled_agents(
+        stream_events(spark, path, "parquet")[0], 60, "0 seconds")) or stream[-1])
+    assert sorted(map(str, got.select("case_id", "agent_name", "seq").collect())) == sorted(
+        map(str, ev.stalled_agents(df, 60, 10).select("case_id", "agent_name", "seq").collect()))
+    plan = stream[0]._jdf.queryExecution().analyzed().toString()
+    assert [line for line in plan.splitlines() if "TransformWithState" in line and "shard" in line]
